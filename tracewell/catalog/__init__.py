@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["timeline"]
+MODULES = ["timeline", "measures"]
 
 
 def load_catalog():

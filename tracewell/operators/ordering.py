@@ -127,45 +127,44 @@ def lag_within(
     )
 
 
-def smallest_by_hash(
-    df: DataFrame, hash_col: str, wanted: DataFrame, group: list[str]
+def flag_smallest(
+    df: DataFrame, hash_col: str, wanted: dict, group: str, name: str = "chosen"
 ) -> DataFrame:
-    """The `keep` rows with the smallest hash in each group, exactly.
+    """Marks the wanted[g] rows with the smallest hash in each group g, exactly.
 
-    wanted has one row per group: the group columns and `keep`. Counts per
-    group and four-digit hash prefix find the prefix that holds the cut; only
-    rows with that prefix are ranked. The result is then a filter.
-    hash_col must be uniform (see seeded_hash) and unique within its group.
+    Counts per group and four-digit hash prefix find the prefix that holds the
+    cut, and only rows with that prefix are ranked; the marking itself is then a
+    plain comparison. hash_col must be uniform and unique (see seeded_hash).
+    Groups missing from wanted are left unmarked.
     """
-    prefix = F.substring(hash_col, 1, 4)
-    hashed = df.select(*group, hash_col).withColumn("_prefix", prefix)
-    counts = hashed.groupBy(*group, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
-    # At most 65,536 rows per group.
-    upto = Window.partitionBy(*group).orderBy("_prefix")
+    keep = F.lit(None).cast("bigint")
+    for value, count in wanted.items():
+        keep = F.when(F.col(group) == F.lit(value), F.lit(int(count)).cast("bigint")).otherwise(keep)
+    hashed = df.select(group, hash_col, F.substring(hash_col, 1, 4).alias("_prefix"))
+    # At most 65,536 rows per group, and few groups.
+    counts = hashed.groupBy(group, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(group).orderBy("_prefix"))
     cut = (
-        counts.withColumn("_upto", F.sum("_n").over(upto))
-        .join(F.broadcast(wanted), group)
-        .where((F.col("_upto") - F.col("_n") < F.col("keep")) & (F.col("keep") <= F.col("_upto")))
-        .select(*group, "_prefix", (F.col("keep") - F.col("_upto") + F.col("_n")).alias("_nth"))
+        counts.withColumn("_upto", upto)
+        .withColumn("_keep", keep)
+        .where((F.col("_upto") - F.col("_n") < F.col("_keep")) & (F.col("_keep") <= F.col("_upto")))
+        .select(group, "_prefix", (F.col("_keep") - F.col("_upto") + F.col("_n")).alias("_nth"))
     )
+    nth = F.row_number().over(Window.partitionBy(group, "_prefix").orderBy(hash_col))
     last = (
-        hashed.join(F.broadcast(cut), [*group, "_prefix"])
-        .withColumn(
-            "_rn",
-            F.row_number().over(Window.partitionBy(*group, "_prefix").orderBy(hash_col)),
-        )
+        hashed.join(F.broadcast(cut), [group, "_prefix"])
+        .withColumn("_rn", nth)
         .where(F.col("_rn") == F.col("_nth"))
-        .select(*group, F.col(hash_col).alias("_last"))
+        .select(F.col(group).alias("_group"), F.col(hash_col).alias("_last"))
     )
-    # A group that keeps everything has no cut inside its counts beyond the last row.
-    full = counts.groupBy(*group).agg(F.sum("_n").alias("_size"))
-    bounds = (
-        full.join(F.broadcast(wanted), group)
-        .join(F.broadcast(last), group, "left")
-        .select(*group, (F.col("keep") >= F.col("_size")).alias("_all"), "_last")
+    size = counts.groupBy(group).agg(F.sum("_n").alias("_size"))
+    # One row per group.
+    bounds = size.join(last, F.col(group) == F.col("_group"), "left").select(
+        F.col(group).alias("_of"), (keep >= F.col("_size")).alias("_all"), "_last"
     )
+    chosen = F.coalesce(F.col("_all") | (F.col(hash_col) <= F.col("_last")), F.lit(False))
     return (
-        df.join(F.broadcast(bounds), group)
-        .where(F.col("_all") | (F.col(hash_col) <= F.col("_last")))
-        .select(*df.columns)
+        df.join(F.broadcast(bounds), F.col(group) == F.col("_of"), "left")
+        .withColumn(name, chosen)
+        .drop("_of", "_all", "_last")
     )
