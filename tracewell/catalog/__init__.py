@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["timeline", "measures"]
+MODULES = ["timeline", "measures", "notes"]
 
 
 def load_catalog():
