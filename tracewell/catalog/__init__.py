@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["timeline", "measures", "notes"]
+MODULES = ["timeline", "measures", "notes", "conform"]
 
 
 def load_catalog():
