@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["timeline", "measures", "notes", "conform"]
+MODULES = ["timeline", "measures", "notes", "conform", "models"]
 
 
 def load_catalog():

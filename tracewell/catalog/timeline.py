@@ -195,8 +195,7 @@ _DRUG_REASON = "CASE drug " + " ".join(
 ) + " END"
 _IS_SPECIFIC = "drug IN (" + ", ".join(quoted(d) for d in fixed.SPECIFIC_ANTIDOTES) + ")"
 
-EVIDENCE_SQL = f"""{SIGNALS_SQL},
-marked AS (
+EVIDENCE_PART = f"""marked AS (
   SELECT s.*, a.by_admission, CASE WHEN event_type = 'medication' THEN {_FIRST_DRUG} END AS drug,
     event_type = 'transfer' AND {sql_any('nm', fixed.ESCALATION_UNIT_TERMS)} AS moved
   FROM signals s JOIN anchors a USING (source, case_id)),
@@ -225,6 +224,7 @@ evidence AS (
     'Creatinine rose ' || printf('%.1f', creatinine_rise) || 'x from baseline'
   FROM changes WHERE creatinine_rise >= 2)
 """
+EVIDENCE_SQL = f"{SIGNALS_SQL}, {EVIDENCE_PART}"
 
 
 @query(
