@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 from tracewell.functions import fixed_values as fixed
 
 # A number as free text writes it: digits may be grouped with underscores.
-NUMBER = r"^[+-]?(\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
-INFINITE = r"(?i)^[+-]?inf(inity)?$"
+_DIGITS = r"\d+(?:_\d+)*"
+NUMBER = (
+    rf"[+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?"
+    r"|(?i:inf(?:inity)?))"
+)
+WHITE = " \t\n\r\f\x0b"
 
 
 def text_or_empty(c: Column) -> Column:
@@ -21,7 +25,7 @@ def text_or_empty(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space, where trim() takes spaces only."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def contains_any(c: Column, terms: Iterable[str]) -> Column:
@@ -32,6 +36,14 @@ def contains_any(c: Column, terms: Iterable[str]) -> Column:
     return reduce(lambda a, b: a | b, [c.contains(t) for t in terms])
 
 
+def mentions(c: Column, terms: Iterable[str]) -> Column:
+    """contains_any without regard to case, as one pattern.
+
+    For filters: a filter repeats its input once per test, a pattern only once.
+    """
+    return c.rlike("(?i)" + "|".join(f"\\Q{t}\\E" for t in terms))
+
+
 def first_match(c: Column, terms: Iterable[str]) -> Column:
     """The first term, in list order, that occurs in c; null when none does."""
     return F.coalesce(*[F.when(c.contains(t), F.lit(t)) for t in terms], F.lit(None))
@@ -50,13 +62,8 @@ def matched_terms(c: Column, terms: Iterable[str]) -> Column:
 
 def numeric_prefix(c: Column) -> Column:
     """First white-space token of c as a double; null where it is not a number."""
-    token = F.get(F.split(strip(c), r"\s+", 2), F.lit(0))
-    plain = F.when(token.rlike(NUMBER), F.regexp_replace(token, "_", ""))
-    unbounded = F.when(
-        token.rlike(INFINITE),
-        F.when(token.startswith("-"), F.lit("-Infinity")).otherwise(F.lit("Infinity")),
-    )
-    return F.coalesce(plain, unbounded).try_cast("double")
+    token = F.regexp_extract(c, rf"^\s*({NUMBER})(?:\s|$)", 1)
+    return F.replace(token, F.lit("_"), F.lit("")).try_cast("double")
 
 
 def lab_flag(name: Column, number: Column, rules: dict, cut: int) -> Column:
@@ -104,12 +111,12 @@ def content_id(kind: Column, ts: Column, value: Column, details: Column) -> Colu
 
 def parse_time(c: Column) -> Column:
     """ISO text to timestamp; blank or malformed is null."""
-    return F.try_to_timestamp(F.regexp_replace(strip(c), "Z", ""))
+    return F.try_to_timestamp(F.replace(strip(c), F.lit("Z"), F.lit("")))
 
 
 def whole_age(c: Column) -> Column:
     """Age text to a whole number; blank or malformed is 0."""
-    number = F.when(strip(c).rlike(NUMBER), strip(c)).try_cast("double")
+    number = F.regexp_extract(c, rf"^\s*({NUMBER})\s*$", 1).try_cast("double")
     return F.coalesce(number.try_cast("int"), F.lit(0))
 
 

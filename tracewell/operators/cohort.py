@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import columns as C
 
-ONE = F.lit(1)
+def count_rows() -> Column:
+    return F.count(F.lit(1))
 
 
 def count_true(c: Column) -> Column:
@@ -39,20 +40,20 @@ def stay_census(cases: DataFrame) -> DataFrame:
     """Total, in-house and discharged stays per source."""
     open_stay = F.col("discharged_at").isNull()
     return cases.groupBy("source").agg(
-        F.count(ONE).alias("total"),
+        count_rows().alias("total"),
         count_true(open_stay).alias("in_house"),
         count_true(~open_stay).alias("discharged"),
     )
 
 
 def source_counts(cases: DataFrame) -> DataFrame:
-    return cases.groupBy("source").agg(F.count(ONE).alias("cases"))
+    return cases.groupBy("source").agg(count_rows().alias("cases"))
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """Row count per named table; names may carry a namespace before a dot."""
     counts = [
-        df.agg(F.count(ONE).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
+        df.agg(count_rows().alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
         for name, df in tables.items()
     ]
     return reduce(DataFrame.unionByName, counts)
@@ -64,7 +65,7 @@ def namespace_counts(tables: dict[str, DataFrame]) -> DataFrame:
         table_counts(tables)
         .withColumn("namespace", F.substring_index("table_name", ".", 1))
         .groupBy("namespace")
-        .agg(F.count(ONE).alias("n_tables"), F.sum("n_rows").alias("n_rows"))
+        .agg(count_rows().alias("n_tables"), F.sum("n_rows").alias("n_rows"))
     )
 
 
@@ -81,13 +82,13 @@ def distinct_share(df: DataFrame, key: str, flag: Column) -> DataFrame:
     """Distinct keys overall and under a flag, with the percentage."""
     per_key = df.groupBy(key).agg(F.bool_or(flag).alias("flag")).where(F.col(key).isNotNull())
     return per_key.agg(
-        F.count(ONE).alias("total"), count_true(F.col("flag")).alias("flagged")
+        count_rows().alias("total"), count_true(F.col("flag")).alias("flagged")
     ).withColumn("pct", F.round(100 * C.ratio(F.col("flagged"), F.col("total")), 1))
 
 
 def top_values(df: DataFrame, column: str, k: int | None = None, *also: Column) -> DataFrame:
     """Value counts, most frequent first; ties by value."""
-    counts = df.groupBy(column).agg(F.count(ONE).alias("n"), *also)
+    counts = df.groupBy(column).agg(count_rows().alias("n"), *also)
     ordered = counts.orderBy(F.desc("n"), F.col(column))
     return counts if k is None else ordered.limit(k)
 
@@ -98,8 +99,8 @@ def distinct_values(df: DataFrame, *columns: str) -> DataFrame:
     Two grouped passes per column instead of one expanded count of all.
     """
     parts = [
-        df.where(F.col(c).isNotNull()).groupBy(c).agg(ONE.alias("_"))
-        .agg(F.count(ONE).alias("n_distinct"))
+        df.where(F.col(c).isNotNull()).groupBy(c).agg(F.first(F.lit(1)).alias("_"))
+        .agg(count_rows().alias("n_distinct"))
         .select(F.lit(c).alias("column_name"), "n_distinct")
         for c in columns
     ]
@@ -111,7 +112,7 @@ def matching_titles(df: DataFrame, title: str, terms: list[str]) -> DataFrame:
     return (
         df.where(C.contains_any(F.col(title), terms))
         .groupBy(title)
-        .agg(F.count(ONE).alias("occurrences"))
+        .agg(count_rows().alias("occurrences"))
     )
 
 
@@ -120,7 +121,7 @@ def group_profile(scored: DataFrame, group: str) -> DataFrame:
     return (
         scored.groupBy(group)
         .agg(
-            F.count(ONE).alias("cases"),
+            count_rows().alias("cases"),
             F.avg("score").alias("mean_score"),
             F.avg(F.col("label").cast("double")).alias("label_rate"),
         )

@@ -12,6 +12,7 @@ from tracewell.functions import fixed_values as fixed
 from tracewell.operators.ordering import flag_smallest, global_rank
 from tracewell.operators.resample import class_sizes
 from tracewell.schema import EVENTS, KEY
+from tracewell.session import materialize
 
 MARK = "injected-"
 LOG_COLUMNS = ["run_id", "action", "table_name", *KEY, "row_json"]
@@ -40,9 +41,13 @@ def chosen_cases(cases: DataFrame, shares: Shares, seed: int) -> DataFrame:
         flagged, "_hash", {True: min(int(positives * shares.dark), int(positives * shares.silent))},
         "label", "dark",
     )
-    return flagged.withColumn("silent", F.col("_first") & F.col("label")).withColumn(
-        "benign", F.col("_first") & ~F.col("label")
-    ).drop("_first")
+    marks = flagged.select(
+        *KEY, "label", "_hash", "dark",
+        (F.col("_first") & F.col("label")).alias("silent"),
+        (F.col("_first") & ~F.col("label")).alias("benign"),
+    )
+    # Read several times below, and only these columns of it.
+    return materialize(marks, "chosen")
 
 
 def doomed_events(

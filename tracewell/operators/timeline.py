@@ -49,19 +49,16 @@ def event_signals(events: DataFrame, lab_rules: dict = fixed.LAB_RULES) -> DataF
     reoperation = procedure & returned_to_theatre(text)
     readmission = (kind == "admission") & text.contains("readmission")
 
-    number = F.when(lab, C.numeric_prefix(F.col("details")))
-    number = F.when(~F.isnan(number), number)
-    known = lab & C.strip(name).isin(list(lab_rules))
-    lab_name = F.when(known, C.strip(name))
+    lab_name = F.when(lab, C.lookup(C.strip(name), {n: n for n in lab_rules}))
 
     return events.select(
         *KEY,
         kind.alias("event_type"),
         "ts",
         "case_ordinal",
-        F.when(known, F.col("value")).alias("lab_spelling"),
         lab_name.alias("lab_name"),
-        F.when(known, number).alias("lab_number"),
+        F.when(lab, F.col("value")).alias("lab_spelling"),
+        F.when(lab, C.numeric_prefix(F.col("details"))).alias("lab_number"),
         F.when(specific, F.col("ts")).alias("antidote_at"),
         context.cast("int").alias("context"),
         transfusion.cast("int").alias("transfusion"),
@@ -69,6 +66,8 @@ def event_signals(events: DataFrame, lab_rules: dict = fixed.LAB_RULES) -> DataF
         rapid.cast("int").alias("rapid"),
         reoperation.cast("int").alias("reoperation"),
         readmission.cast("int").alias("readmission"),
+    ).withColumns(
+        {c: F.when(F.col("lab_name").isNotNull(), F.col(c)) for c in ("lab_spelling", "lab_number")}
     ).withColumn(
         "abnormal", C.lab_flag(F.col("lab_name"), F.col("lab_number"), lab_rules, 1)
     ).withColumn(
@@ -224,7 +223,7 @@ def lab_trends(events: DataFrame) -> DataFrame:
         events.where(F.col("event_type") == "lab")
         .select(*KEY, "ts", "case_ordinal", lab.alias("lab"), number.alias("number"))
         .where(F.col("lab").isin("hemoglobin", "hgb", "creatinine"))
-        .where(F.col("number").isNotNull() & ~F.isnan("number"))
+        .where(F.col("number").isNotNull())
         .withColumn("draw_order", draw_order())
     )
     of = lambda lab, c: F.when(F.col("lab") == lab, F.col(c))
@@ -279,20 +278,24 @@ def trigger_evidence(
     """
     _check_anchor(anchor)
     value, details = C.text_or_empty(F.col("value")), C.text_or_empty(F.col("details"))
-    name, text = F.lower(value), F.lower(F.concat(value, F.lit(" "), details))
+    text = F.concat(value, F.lit(" "), details)
     reasons = {**fixed.SPECIFIC_ANTIDOTES, **fixed.CONTEXT_REVERSAL_AGENTS}
 
     kind = F.col("event_type")
-    drug = F.when(kind == "medication", C.first_match(name, reasons))
-    moved = (kind == "transfer") & C.contains_any(name, fixed.ESCALATION_UNIT_TERMS)
-    returned = (kind == "procedure") & returned_to_theatre(text)
-    readmitted = (kind == "admission") & text.contains("readmission")
-
-    anchors = treatment_anchor(events, anchor)
+    reoperation = C.mentions(text, fixed.REOPERATION_TERMS) | (
+        C.mentions(text, fixed.OPERATING_PLACE_TERMS) & C.mentions(text, fixed.UNPLANNED_TERMS)
+    )
+    telling = (
+        ((kind == "medication") & C.mentions(value, reasons))
+        | ((kind == "transfer") & C.mentions(value, fixed.ESCALATION_UNIT_TERMS))
+        | ((kind == "procedure") & reoperation)
+        | ((kind == "admission") & C.mentions(text, ["readmission"]))
+    )
+    drug = F.when(kind == "medication", C.first_match(F.lower(value), reasons))
     shown = (
-        events.withColumn("drug", drug)
-        .where(F.col("drug").isNotNull() | moved | returned | readmitted)
-        .join(anchors, KEY, "left")
+        events.where(telling)
+        .withColumn("drug", drug)
+        .join(treatment_anchor(events, anchor), KEY, "left")
     )
     timing = F.when(F.col("ts") > F.col("anchor_at"), "after treatment began").otherwise(
         "on arrival, before our treatment"
@@ -311,8 +314,11 @@ def trigger_evidence(
             F.concat(tier, F.lit(" **"), F.initcap("drug"), F.lit("** given "), timing,
                      F.lit(" ("), C.lookup(F.col("drug"), reasons), F.lit(")")),
         )
-        .when(moved, F.concat(F.lit("Transfer to "), value, F.lit(": "), details))
-        .when(returned, F.concat(F.lit("Unplanned OR return: "), value, F.lit(" — "), details))
+        .when(kind == "transfer", F.concat(F.lit("Transfer to "), value, F.lit(": "), details))
+        .when(
+            kind == "procedure",
+            F.concat(F.lit("Unplanned OR return: "), value, F.lit(" — "), details),
+        )
         .otherwise(F.concat(value, F.lit(": "), details))
         .alias("text"),
     )

@@ -7,14 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators.cohort import count_true
+from tracewell.operators.cohort import count_rows, count_true
 from tracewell.operators.scoring import feature_names
 from tracewell.schema import KEY
 
 FIELDS = ["age", "gender", "label", "scenario", "label_source"]
 EVENT_FIELDS = ["event_id", "event_type", "ts", "value", "details"]
-ONE = F.lit(1)
-
 
 def _paired(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
     def side(df, name):
@@ -86,8 +84,8 @@ def equivalence_report(
         count_true(both & ~_same(FIELDS)).alias("field_mismatches"),
     )
     sides = (
-        events_a.select(ONE.alias("a"), F.lit(0).alias("b"))
-        .unionByName(events_b.select(F.lit(0).alias("a"), ONE.alias("b")))
+        events_a.select(F.lit(1).alias("a"), F.lit(0).alias("b"))
+        .unionByName(events_b.select(F.lit(0).alias("a"), F.lit(1).alias("b")))
         .agg(F.sum("a").alias("left_events"), F.sum("b").alias("right_events"))
     )
     event_cases = event_mismatches(events_a, events_b).select(*KEY).distinct()
@@ -99,7 +97,7 @@ def equivalence_report(
         "*",
         sides.select("left_events").scalar().alias("left_events"),
         sides.select("right_events").scalar().alias("right_events"),
-        one(event_cases, F.count(ONE)).alias("event_mismatches"),
+        one(event_cases, count_rows()).alias("event_mismatches"),
         one(by_feature, count_true(~_same(names))).alias("feature_mismatches"),
         one(
             by_score,

@@ -9,6 +9,7 @@ from tracewell.functions import fixed_values as fixed
 from tracewell.operators import queue as Q
 from tracewell.operators.timeline import last_events, trigger_evidence, with_waiting
 from tracewell.schema import KEY
+from tracewell.session import materialize
 
 RAISING, LOWERING, EVIDENCE, FINDINGS, TIMELINE = 8, 8, 10, 6, 12
 
@@ -34,13 +35,14 @@ def review_queue(
     scored = cases.join(scores.select(*KEY, "score"), KEY)
     if reviews is not None:
         scored = Q.without_reviewed(scored, reviews)
-    listed = Q.top_of_queue(scored, capacity)
+    listed = materialize(Q.top_of_queue(scored, capacity), "listed")
     keys = F.broadcast(listed.select(*KEY))
     of_listed = lambda df: df.join(keys, KEY, "left_semi")
 
-    here = of_listed(events)
+    # Each large table is scanned once, however many details are drawn from it.
+    here = materialize(of_listed(events), "listed-events")
+    pushes = materialize(of_listed(contributions), "listed-contributions")
     evidence = trigger_evidence(here, anchor)
-    pushes = of_listed(contributions)
     ranked = Q.ranked_contributions(pushes, max(RAISING, LOWERING))
     side = lambda name, n: ranked.where((F.col("side") == name) & (F.col("place") <= n))
 
