@@ -27,8 +27,10 @@ from tracewell.schema import KEY
 from tracewell.session import scratch_root, table
 from tracewell.sources import hospital as H
 from tracewell.sources.activity import ACTIVITY_SQL, activity_cases, activity_events
+from tracewell.sources.csv_tables import load_tables
 from tracewell.sources.raw_extracts import HOSPITAL_SQL, hospital_tables
 from tracewell.sources.store import CaseStore
+from tracewell.streaming.drops import watch_drops
 
 # Hand-set weights, so scores have an exact counterpart in SQL.
 WEIGHTS = {
@@ -434,6 +436,95 @@ def nightly_cycle(spark, folder):
     )
 
 
+def activity_store(spark, folder) -> CaseStore:
+    store = fresh_store(spark)
+    store.replace_cases(activity_cases(spark, folder), activity_events(spark, folder))
+    return store
+
+
+@query(
+    "store_score_run",
+    f"WITH {HAND_SQL} SELECT case_id, round(score, 9) AS score, feature, contribution "
+    "FROM scores JOIN pushes USING (source, case_id)",
+)
+def store_score_run(spark, folder):
+    store = activity_store(spark, folder)
+    wide = T.trigger_features(store.case_events("activity"))
+    store.write_scores(HAND.score(wide), HAND.contributions(wide), "logistic", "hand-set")
+    runs = merge.run_contributions(store.read("scores"), store.read("contributions"))
+    return runs.select("case_id", F.round("score", 9).alias("score"), "feature", "contribution")
+
+
+@query(
+    "store_reviews",
+    f"WITH {ACTIVITY_SQL} SELECT case_id, 2::BIGINT AS n_reviews FROM a_cases WHERE {REVIEWED}",
+)
+def store_reviews(spark, folder):
+    store = activity_store(spark, folder)
+    batch = reviews(spark, folder).select(
+        *KEY, F.lit("someone").alias("reviewer"), F.lit("unclear").alias("decision"),
+        F.lit(None).cast("string").alias("notes"),
+    )
+    store.record_reviews(batch)
+    return store.read("reviews").groupBy("case_id").agg(F.count(F.lit(1)).alias("n_reviews"))
+
+
+@query("feature_matrix", f"WITH {FEATURES_SQL} SELECT * FROM features")
+def feature_matrix(spark, folder):
+    return S.feature_matrix(activity_cases(spark, folder), features(spark, folder))
+
+
+@query(
+    "counterfactual_log",
+    f"""WITH {INJECTED_SQL} SELECT 'delete' AS action, case_id, value FROM doomed
+    UNION ALL SELECT 'insert', case_id, row.value FROM injected""",
+)
+def counterfactual_log(spark, folder):
+    log = CF.apply(activity_cases(spark, folder), activity_events(spark, folder), "run").log
+    return log.select("action", "case_id", F.get_json_object("row_json", "$.value").alias("value"))
+
+
+@query(
+    "load_raw_tables",
+    " UNION ALL ".join(
+        f"SELECT 'raw.{n}' AS table_name, count(*) AS source_rows, count(*) AS target_rows, true AS same FROM {n}"
+        for n in ("customer", "supplier", "nation")
+    ),
+)
+def load_raw_tables(spark, folder):
+    root = fresh_store(spark).root
+    paths = {}
+    for name in ("customer", "supplier", "nation"):
+        paths[f"raw.{name}"] = f"{root}/csv/{name}"
+        table(spark, folder, name).write.option("header", True).csv(paths[f"raw.{name}"])
+    return load_tables(spark, paths, f"{root}/tables")
+
+
+@query(
+    "stream_drops",
+    f"""WITH {HOSPITAL_SQL} SELECT count(*) AS total, count_if(discharged_at IS NULL)::BIGINT AS in_house,
+      count_if(discharged_at IS NOT NULL)::BIGINT AS discharged, (SELECT count(*) FROM h_events) AS events_stored
+    FROM h_cases""",
+)
+def stream_drops(spark, folder):
+    """Stays and labs arrive first, then the rest with the stays repeated."""
+    store = fresh_store(spark)
+    mapped = {r: H.map_columns(df, r) for r, df in hospital_tables(spark, folder).items()}
+    inbox = f"{store.root}-inbox"
+    for roles in (("stays", "labs"), ("stays", "meds", "transfers")):
+        for role in roles:
+            rows = mapped[role].withColumn("role", F.lit(role))
+            rows.write.mode("append").parquet(inbox)
+        watch_drops(
+            spark, inbox, store, f"{store.root}-checkpoint", file_format="parquet"
+        ).awaitTermination()
+    events = store.case_events()
+    return cohort.stay_census(store.cases()).select(
+        "total", "in_house", "discharged",
+        events.agg(F.count(F.lit(1))).scalar().alias("events_stored"),
+    )
+
+
 @query(
     "key_set_difference",
     """SELECT o_orderkey AS k, 'left' AS only_in FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)

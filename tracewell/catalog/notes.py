@@ -12,6 +12,7 @@ from tracewell.operators import metrics as M
 from tracewell.operators import notes as N
 from tracewell.operators import note_model as NM
 from tracewell.session import table
+from tracewell.sources import sentences
 from tracewell.sources.documents import (
     EXPECTED,
     LISTS,
@@ -136,6 +137,20 @@ def contrast_misses(spark, folder):
     return N.contrast_misses(pairs(spark, folder)).select("pair_id", "side", "truth", "pred")
 
 
+@query(
+    "contrast_sentences",
+    """SELECT conv_id AS pair_id, 0 AS side, min_by(text, turn) AS text, 'unanticipated' AS truth
+      FROM conversations GROUP BY conv_id
+    UNION ALL SELECT conv_id, 1, max_by(text, turn), 'expected_risk' FROM conversations GROUP BY conv_id""",
+)
+def contrast_sentences(spark, folder):
+    ends = table(spark, folder, "conversations").groupBy(F.col("conv_id").alias("pair_id")).agg(
+        F.min_by("text", "turn").alias("unanticipated"),
+        F.max_by("text", "turn").alias("expected_risk"),
+    )
+    return sentences.contrast_sentences(ends)
+
+
 @query("framing_confusion",
        f"WITH {PAIRS_SQL} SELECT truth, pred, count(*) AS n FROM predicted GROUP BY ALL")
 def framing_confusion(spark, folder):

@@ -80,10 +80,14 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
 
 
 def number_within(
-    df: DataFrame, keys: list[str], order: list[Column], name: str, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: list[str], order: list[Column], name: str, hot_rows: int = HOT_ROWS,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
-    """1-based running number per key; exact also when one key holds most rows."""
-    if largest_group(df, keys) <= hot_rows:
+    """1-based running number per key; exact also when one key holds most rows.
+
+    bound: a table with at least the rows of df per key that is cheaper to count.
+    """
+    if largest_group(df if bound is None else bound, keys) <= hot_rows:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     ranked = global_rank(df, [F.col(k) for k in keys] + order, "_rank")
     starts = ranked.groupBy(*keys).agg(F.min("_rank").alias("_start"))

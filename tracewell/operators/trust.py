@@ -158,8 +158,7 @@ def gain_curve(scored: DataFrame, order: list[Column], points: int = 40) -> Data
             [(0, 0.0, 0.0), (points, 1.0, 1.0)], "step int, review_share double, harm_found double"
         )
     cutoffs = [round(step / points * total) for step in range(points + 1)]
-    step = F.size(F.filter(F.array(*[F.lit(c).cast("bigint") for c in cutoffs]),
-                           lambda c: c < F.col("rank")))
+    step = sum(((F.col("rank") > c).cast("int") for c in cutoffs), F.lit(0))
     found = ranked.groupBy(step.alias("step")).agg(count_true(F.col("label")).alias("hits"))
     # points + 1 rows from here on.
     steps = spark.createDataFrame(list(enumerate(cutoffs)), "step int, cutoff bigint")

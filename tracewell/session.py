@@ -19,11 +19,16 @@ SETTINGS = {
 }
 
 
+# Python call sites are recorded for every column otherwise, which takes longer
+# than planning for wide aggregates.
+START_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
+
 def build_session(master: str | None = None, app: str = "tracewell", **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **extra}.items():
+    for key, value in {**SETTINGS, **START_SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.catalog.sqltext import sql_list
-from tracewell.session import table
+from tracewell.session import spread, table
 
 SOURCE = "activity"
 KINDS = {
@@ -48,7 +48,7 @@ def _pick(values: list[str], index: Column) -> Column:
 
 def _rows(spark: SparkSession, folder: str) -> DataFrame:
     week = F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) / 7)
-    return table(spark, folder, "events").select(
+    return spread(table(spark, folder, "events")).select(
         F.lit(SOURCE).alias("source"),
         F.concat(F.col("user_id").cast("string"), F.lit("-w"), week.cast("string")).alias("case_id"),
         "user_id",

@@ -40,14 +40,21 @@ def admission_stays(admissions: DataFrame, **ordering) -> DataFrame:
 
 
 def admission_cases(patients: DataFrame, stays: DataFrame, diagnoses: DataFrame) -> DataFrame:
-    """One case per admission, labelled by its complication codes."""
+    """One case per admission, labelled by its complication codes.
+
+    An admission of an unknown patient is an error.
+    """
     case_id = F.concat_ws("-", F.col("subject_id").cast("string"), F.col("hadm_id").cast("string"))
     labels = label_by_codes(diagnoses, fixed.COMPLICATION_CODES)
-    return with_labels(stays.join(patients, "subject_id"), labels, "hadm_id").select(
+    people = patients.withColumn("_known", F.lit(True))
+    checked = F.when(F.col("_known"), F.col("anchor_age").cast("int")).otherwise(
+        F.raise_error(F.concat(F.lit("unknown patient of "), case_id)).cast("int")
+    )
+    return with_labels(stays.join(people, "subject_id", "left"), labels, "hadm_id").select(
         F.lit(SOURCE).alias("source"),
         case_id.alias("case_id"),
         "hadm_id",
-        F.col("anchor_age").cast("int").alias("age"),
+        checked.alias("age"),
         F.col("gender").cast("string").alias("gender"),
         "label",
         F.lit("icd_complication_proxy").alias("label_source"),

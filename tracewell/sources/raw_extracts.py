@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewell.catalog.sqltext import sql_list
 from tracewell.functions import fixed_values as fixed
-from tracewell.session import table
+from tracewell.session import spread, table
 
 LAB_SPELLINGS = ["CREAT", "Lactic acid", "WBC  count", "Hemoglobin", " creatinine  Serpl"]
 DRUG_SPELLINGS = ["NARCAN", "Naloxone  HCl ", "Furosemide", " Heparin"]
@@ -49,7 +49,7 @@ def _text(name: str) -> Column:
 # --- hospital extract --------------------------------------------------------------
 def hospital_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """Four text tables with foreign headers, orphans, blanks and repeated rows."""
-    orders, lines = table(spark, folder, "orders"), table(spark, folder, "lineitem")
+    orders, lines = table(spark, folder, "orders"), spread(table(spark, folder, "lineitem"))
     low = F.col("o_orderpriority") == "5-LOW"
     stays = orders.select(
         _text("o_orderkey").alias("PAT_ENC_CSN_ID"),
@@ -120,7 +120,7 @@ h_events AS (
 
 # --- admission dataset -----------------------------------------------------------------
 def admission_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    orders, lines = table(spark, folder, "orders"), table(spark, folder, "lineitem")
+    orders, lines = table(spark, folder, "orders"), spread(table(spark, folder, "lineitem"))
     customer, part = table(spark, folder, "customer"), table(spark, folder, "part")
     newer = F.col("l_linestatus") == "O"
     version = F.when(newer, 10).otherwise(9)
@@ -235,7 +235,7 @@ m_titles AS (
 
 # --- encounter warehouse ------------------------------------------------------------------
 def encounter_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    orders, lines = table(spark, folder, "orders"), table(spark, folder, "lineitem")
+    orders, lines = table(spark, folder, "orders"), spread(table(spark, folder, "lineitem"))
     customer = table(spark, folder, "customer")
     priority = F.col("o_orderpriority")
     encounter = F.concat(F.lit("e"), _text("l_orderkey")).alias("ENCOUNTER")
