@@ -26,3 +26,11 @@ def op1(spark, folder):
 
     out = substring_dedup(read(spark, folder, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op7_simhash_near_dedup")
+def op7(spark, folder):
+    from tracewell.llm.simhash import simhash_groups
+
+    out = simhash_groups(read(spark, folder, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
