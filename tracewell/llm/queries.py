@@ -34,3 +34,10 @@ def op7(spark, folder):
 
     out = simhash_groups(read(spark, folder, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op2_benchmark_leaks")
+def op2(spark, folder):
+    from tracewell.llm.decontaminate import leaked_items
+
+    return leaked_items(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
