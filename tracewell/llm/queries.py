@@ -41,3 +41,14 @@ def op2(spark, folder):
     from tracewell.llm.decontaminate import leaked_items
 
     return leaked_items(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+@query("op4_pii_spans")
+def op4(spark, folder):
+    from tracewell.llm.pii import BASE_KINDS, pii_spans
+
+    found = pii_spans(read(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
+    said = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in BASE_KINDS], F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
