@@ -130,13 +130,23 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
 _ORDER = {kind: i for i, kind in enumerate(KINDS)}
 
 
+def tags(spans: list[tuple[str, int, int]]) -> list[tuple[int, int, str]]:
+    """(start, end, tag) for each span or run of overlapping spans, left to right."""
+    out: list[tuple[int, int, str]] = []
+    for kind, start, end in sorted(spans, key=lambda s: (s[1], -s[2], _ORDER[s[0]])):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end), out[-1][2])
+        else:
+            out.append((start, end, f"<{kind.upper()}>"))
+    return out
+
+
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     """The text with a tag such as `<EMAIL>` for each span or run of overlapping spans."""
     out, at = [], 0
-    for kind, start, end in sorted(spans, key=lambda s: (s[1], -s[2], _ORDER[s[0]])):
-        if start >= at:
-            out += [text[at:start], f"<{kind.upper()}>"]
-        at = max(at, end)
+    for start, end, tag in tags(spans):
+        out += [text[at:start], tag]
+        at = end
     return "".join([*out, text[at:]])
 
 
@@ -156,6 +166,22 @@ def pii_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     return base.mapInArrow(_spans, "doc_id bigint, spans array<struct<kind: string, start: int, end: int>>")
 
 
+def _edits(batches):
+    kind = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())])
+    for batch in batches:
+        rows = [
+            [{"start": a, "end": b, "text": tag} for a, b, tag in reversed(tags(find_spans(t.as_py())))]
+            for t in W.plain_strings(batch.column("text"))
+        ]
+        yield pa.record_batch([batch.column("doc_id"), batch.column("text"), pa.array(rows, pa.list_(kind))], ["doc_id", "text", "edits"])
+
+
+def redaction_edits(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, text and the edits that redact it, right to left, so that none moves another."""
+    base = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
+    return base.mapInArrow(_edits, "doc_id bigint, text string, edits array<struct<start: int, end: int, text: string>>")
+
+
 def redact_pii(docs: DataFrame, text_column: str = "text", length_column: str | None = None) -> DataFrame:
     """docs with redacted texts; length_column, if given, gets the new number of code points."""
     place = docs.columns.index(text_column)

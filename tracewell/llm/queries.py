@@ -52,3 +52,15 @@ def op4(spark, folder):
     said = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     return found.select("doc_id", *[count(k) for k in BASE_KINDS], F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@query("op3_token_counts")
+def op3(spark, folder):
+    """Counts of every document before and after the edits that redact its personal data."""
+    from tracewell.llm.pii import redaction_edits
+    from tracewell.llm.tokens import recount_tokens
+
+    return recount_tokens(redaction_edits(read(spark, folder, "documents")), RANKS, state=False)
