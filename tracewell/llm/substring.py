@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm import words as W
 from tracewell.llm.automaton import SuffixAutomaton
-from tracewell.llm.common import key_of, shuffle_partitions
+from tracewell.llm.common import LAST_ID, key_of, shuffle_partitions
 
 WINDOW = 20
 SEED = 8
@@ -272,11 +272,8 @@ def _keep(batches):
 def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words of every row of docs."""
     parts = shuffle_partitions(docs)
-    base = docs.select(
-        F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"),
-        key_of(id_column).alias("key"),
-    )
-    # Read by two joins below; both reuse this exchange.
+    base = docs.select(key_of(id_column).alias("key"), F.col(text_column).alias("text"))
+    # Read by two joins below, with the same columns, so that both reuse this exchange.
     dealt = base.repartition(parts, "key")
     repeated = (
         base.select("text").mapInArrow(_count_seeds(window, seed), "seed bigint, n bigint")
@@ -297,6 +294,7 @@ def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str
         .groupBy("key").agg(F.collect_list(F.struct("tid", "a", "b")).alias("spans"))
     )
     return (
-        dealt.join(spans, "key", "left").select("doc_id", tid, "text", "spans")
+        dealt.join(spans, "key", "left")
+        .select(F.nullif("key", F.lit(LAST_ID)).alias("doc_id"), tid, "text", "spans")
         .mapInArrow(_keep, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
     )
