@@ -64,3 +64,10 @@ def op3(spark, folder):
     from tracewell.llm.tokens import recount_tokens
 
     return recount_tokens(redaction_edits(read(spark, folder, "documents")), RANKS, state=False)
+
+
+@query("op5_toxicity")
+def op5(spark, folder):
+    from tracewell.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(read(spark, folder, "documents"), read(spark, folder, "labels"))
