@@ -33,8 +33,8 @@ FIT_ROWS = 20_000
 LEXICON_TERMS = 2_000
 LEAST_ROWS = 3          # toxic rows that must hold a learned term
 LEAST_SHARE = 0.002     # and their share of all toxic rows
-LEAST_RATIO = 25.0      # its rate in toxic rows over that in others
-BEGINNINGS = (4, 5, 6)
+LEAST_RATIO = 8.0       # its rate in toxic rows over that in others
+BEGINNINGS = (3, 4, 5, 6, 7, 8)
 NEAR = 5
 THRESHOLD = 0.7
 TREES = {"maxIter": 20, "maxDepth": 3, "stepSize": 0.3, "maxBins": 64, "seed": 7}
@@ -57,8 +57,8 @@ _MIXED = re.compile(r"[^\W\d_][^\w\s]+[^\W\d_]|[^\W\d_]\d|\d[^\W\d_]")
 _JOINED = re.compile(r"[\W_]+")
 
 NAMES = (
-    "log_words fixed_density fixed_count fixed_distinct word_density word_count word_distinct word_weight "
-    "beginning_density beginning_count beginning_distinct beginning_weight near_second second_density "
+    "log_words fixed_density fixed_count fixed_distinct word_density word_count word_distinct "
+    "beginning_density beginning_count beginning_distinct evidence evidence_density strongest near_second second_density "
     "hidden_density mixed_density capitals shouted punctuation exclamations"
 ).split()
 
@@ -82,11 +82,10 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
         if w in lexicon:
             word.append(w)
             hit = True
-        for k in BEGINNINGS:
-            if len(w) >= k and "^" + w[:k] in lexicon:
-                beginning.append("^" + w[:k])
-                hit = True
-                break
+        begins = [b for k in BEGINNINGS if len(w) > k and (b := "^" + w[:k]) in lexicon]
+        if begins:
+            beginning.append((w, max(map(lexicon.get, begins))))
+            hit = True
         if hit:
             hits.append(i)
     # obfuscated words: letters mixed with digits or signs
@@ -101,11 +100,14 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
         near += j < len(second) and second[j] <= i + NEAR
     chars = max(len(text), 1)
     signs = len(text) - sum(map(len, re.findall(r"[\w\s]+", text)))
-    total = lambda found: sum(lexicon[w] for w in set(found))
+    begun = dict(beginning)
+    best = {w: max(lexicon.get(w, 0.0), begun.get(w, 0.0)) for w in {*word, *begun}}
+    evidence = sum(best.values())
     return [
         math.log1p(len(words)), 100 * len(fixed) / n, float(len(fixed)), float(len(set(fixed))),
-        100 * len(word) / n, float(len(word)), float(len(set(word))), total(word),
-        100 * len(beginning) / n, float(len(beginning)), float(len(set(beginning))), total(beginning),
+        100 * len(word) / n, float(len(word)), float(len(set(word))),
+        100 * len(beginning) / n, float(len(beginning)), float(len(begun)),
+        evidence, 100 * evidence / n, max(best.values(), default=0.0),
         float(near), 100 * len(second) / n, 100 * hidden / n, 100 * len(mixed) / n,
         sum(map(str.isupper, text)) / chars, sum(w.isupper() and len(w) > 1 for w in raw) / n,
         signs / chars, text.count("!") / n,
