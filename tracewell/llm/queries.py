@@ -71,3 +71,12 @@ def op5(spark, folder):
     from tracewell.llm.toxicity import toxicity_scores
 
     return toxicity_scores(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+@query("op9_quality_rules")
+def op9(spark, folder):
+    from tracewell.llm.quality import STATISTICS, judge, learn_rules
+
+    docs = read(spark, folder, "documents")
+    out = judge(docs, learn_rules(docs, read(spark, folder, "labels")))
+    return out.select(F.col("row.doc_id").alias("doc_id"), *STATISTICS, "base_failed", "kept", "rule")
