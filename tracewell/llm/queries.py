@@ -80,3 +80,28 @@ def op9(spark, folder):
     docs = read(spark, folder, "documents")
     out = judge(docs, learn_rules(docs, read(spark, folder, "labels")))
     return out.select(F.col("row.doc_id").alias("doc_id"), *STATISTICS, "base_failed", "kept", "rule")
+
+
+def mix_tree():
+    from tracewell.llm.mixing import Tree
+
+    return Tree(
+        domain="CASE WHEN source = 'src0' THEN 'web' WHEN length(source) = 4 THEN 'books' ELSE 'reference' END",
+        domains={"web": 50, "books": 30, "reference": 20},
+        langs={"en": 40, "de": 25, "fr": 20, "es": 15},
+    )
+
+
+def _op6_sql() -> str:
+    from tracewell.llm.mixing import mix_sql
+
+    return mix_sql(mix_tree(), "doc_id, t_domain AS domain, lang, source, n AS n_tokens")
+
+
+@query("op6_source_mix", _op6_sql())
+def op6(spark, folder):
+    from tracewell.llm.mixing import mix, token_count
+
+    tree = mix_tree()
+    out = mix(read(spark, folder, "documents"), tree)
+    return out.select("doc_id", F.coalesce(F.expr(tree.domain), F.lit("")).alias("domain"), "lang", "source", token_count("text").alias("n_tokens"), "times")
