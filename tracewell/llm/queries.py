@@ -105,3 +105,35 @@ def op6(spark, folder):
     tree = mix_tree()
     out = mix(read(spark, folder, "documents"), tree)
     return out.select("doc_id", F.coalesce(F.expr(tree.domain), F.lit("")).alias("domain"), "lang", "source", token_count("text").alias("n_tokens"), "times")
+
+
+# The rules of the contract, and hosts that no rule decides.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+BLOCKED_NAMES = ["spam-farm", "adult-x", "casino-win", "cheap-pills", "free-bets", "ads-track"]
+BLOCKED_HOSTS = [f"{name}.example.{end}" for name in BLOCKED_NAMES for end in ("com", "net", "org")]
+
+
+def _op8_sql() -> str:
+    fits = lambda h: f"(host = '{h}' OR suffix(host, '.{h}'))"
+    ordered = sorted(URL_RULES, key=lambda r: -len(r[0] + r[1]))
+    rule = " ".join(f"WHEN {fits(h)} AND starts_with(path, '{p}') THEN '{h}{p}'" for h, p, _ in ordered)
+    verdict = " ".join(f"WHEN rule = '{h}{p}' THEN '{v}'" for h, p, v in ordered)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+    WITH rests AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+    parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{upper}', '{lower}') AS host,
+                     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
+    ruled AS (SELECT *, CASE {rule} END AS rule FROM parts)
+    SELECT page_id, host, path, rule,
+           CASE {verdict} WHEN {' OR '.join(map(fits, BLOCKED_HOSTS))} THEN 'block' ELSE 'allow' END AS verdict
+    FROM ruled"""
+
+
+@query("op8_url_filter", _op8_sql())
+def op8(spark, folder):
+    from tracewell.llm.urls import Rule, judge_urls
+
+    pages = read(spark, folder, "pages").select("page_id", "url")
+    entries = spark.createDataFrame([(h,) for h in BLOCKED_HOSTS], "entry string")
+    out = judge_urls(pages, entries, [Rule(*r) for r in URL_RULES])
+    return out.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict")
