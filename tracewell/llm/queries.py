@@ -137,3 +137,11 @@ def op8(spark, folder):
     entries = spark.createDataFrame([(h,) for h in BLOCKED_HOSTS], "entry string")
     out = judge_urls(pages, entries, [Rule(*r) for r in URL_RULES])
     return out.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+@query("op10_html_extraction")
+def op10(spark, folder):
+    from tracewell.llm.extract import extract_text
+
+    out = extract_text(read(spark, folder, "pages").select("page_id", "url", "html"))
+    return out.select("row.page_id", "row.url", "text", F.length("text").cast("bigint").alias("n_chars"))
