@@ -168,11 +168,13 @@ def test_probabilities_and_floor(spark, labelled, model):
     assert model.top_terms("unanticipated", 5).count() == 5 and model.top_terms("none").count() == 0
 
 
-def test_shuffle_join_equals_broadcast(labelled, model, monkeypatch):
-    a = model.label_texts(labelled, ["text_id"], "text").select("text_id", "label")
-    monkeypatch.setattr(NM, "BROADCAST_TERMS", 0)
+def test_shuffle_join_equals_broadcast(spark, labelled, model):
+    a = model.label_texts(labelled, ["text_id"], "text").select("text_id", "label").persist()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     b = model.label_texts(labelled, ["text_id"], "text").select("text_id", "label")
     assert a.exceptAll(b).count() == 0
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_note_features_and_findings(make_events, make_cases, model):

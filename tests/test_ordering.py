@@ -44,16 +44,26 @@ def test_running_totals(spark):
     assert same(totals, df.withColumn("upto", F.sum("v").over(upto)))
 
 
-def test_lag_and_number_on_the_hot_path(spark):
+def test_lag_and_number_within_a_hot_key(spark):
     df = skewed(spark)
     order = [F.col("v"), F.col("id")]
-    for hot_rows in (0, 10**9):
-        lagged = O.lag_within(df, ["key"], order, {"before": "v", "score_before": "score"}, hot_rows)
-        w = Window.partitionBy("key").orderBy("v", "id")
-        assert same(lagged, df.withColumn("before", F.lag("v").over(w)).withColumn(
-            "score_before", F.lag("score").over(w)))
-        numbered = O.number_within(df, ["key"], order, "n", hot_rows)
-        assert same(numbered, df.withColumn("n", F.row_number().over(w)))
+    lagged = O.lag_within(df, ["key"], order, {"before": "v", "score_before": "score"})
+    w = Window.partitionBy("key").orderBy("v", "id")
+    assert same(lagged, df.withColumn("before", F.lag("v").over(w)).withColumn(
+        "score_before", F.lag("score").over(w)))
+    numbered = O.number_within(df, ["key"], order, "n")
+    assert same(numbered, df.withColumn("n", F.row_number().over(w)))
+
+
+def test_null_keys_keep_their_rows(spark):
+    rows = [(None if i % 3 else "a", "x" if i % 2 else None, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, l string, id bigint").repartition(5)
+    w = Window.partitionBy("k", "l").orderBy("id")
+    # several ranges, so that keys go on over range borders
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    assert same(O.number_within(df, ["k", "l"], [F.col("id")], "n"), df.withColumn("n", F.row_number().over(w)))
+    assert same(O.lag_within(df, ["k", "l"], [F.col("id")], {"p": "id"}), df.withColumn("p", F.lag("id").over(w)))
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
 def test_flag_smallest_is_exact(spark):
@@ -69,4 +79,5 @@ def test_flag_smallest_is_exact(spark):
 def test_empty_input(spark):
     empty = skewed(spark).where("id < 0")
     assert O.global_rank(empty, [F.col("id")]).count() == 0
-    assert O.lag_within(empty, ["key"], [F.col("id")], {"x": "v"}, 0).count() == 0
+    assert O.lag_within(empty, ["key"], [F.col("id")], {"x": "v"}).count() == 0
+    assert O.number_within(empty, ["key"], [F.col("id")], "n").count() == 0

@@ -88,17 +88,16 @@ def test_last_write_reopens_a_stay(spark, tmp_path, first_drop, second_drop):
     assert store.cases().where("case_id = '1'").head()["discharged_at"] is None
 
 
-def test_unseen_events_on_the_hot_path(spark, make_events):
+def test_unseen_events_are_numbered_on(spark, make_events):
     at = "2026-01-01 00:00:0"
     old = make_events([("a", "lab", at + "1", "x", "1"), ("a", "lab", at + "2", "y", "1")])
     new = make_events([("a", "lab", at + "1", "x", "1"), ("b", "lab", at + "3", "z", "1")] +
                       [("a", "lab", at + str(i), f"n{i}", "1") for i in range(3, 9)])
     new = new.withColumn("event_id", F.concat_ws("|", "value", F.col("ts").cast("string")))
     old = old.withColumn("event_id", F.concat_ws("|", "value", F.col("ts").cast("string")))
-    for hot_rows in (0, 10**6):
-        got = merge.unseen_events(old, new.unionByName(new), hot_rows)
-        rows = sorted((r["case_id"], r["case_ordinal"], r["value"]) for r in got.collect())
-        assert rows == [("a", 2 + i, f"n{3 + i}") for i in range(6)] + [("b", 0, "z")]
+    got = merge.unseen_events(old, new.unionByName(new))
+    rows = sorted((r["case_id"], r["case_ordinal"], r["value"]) for r in got.collect())
+    assert rows == [("a", 2 + i, f"n{3 + i}") for i in range(6)] + [("b", 0, "z")]
 
 
 def test_store_errors_and_reviews(spark, tmp_path, first_drop):

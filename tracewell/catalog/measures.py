@@ -268,7 +268,7 @@ def score_bands(spark, folder):
 
 # --- samples ------------------------------------------------------------------------
 PREVALENCE_SQL = f"""{LABELLED_SQL},
-hashed AS (SELECT *, md5('7:' || case_id) AS h FROM labelled_rows),
+hashed AS (SELECT *, md5('7:' || source || '|' || case_id) AS h FROM labelled_rows),
 sizes AS (SELECT count_if(label) AS p, count_if(NOT label) AS n FROM hashed),
 kept AS (
   SELECT * EXCLUDE (h) FROM (
@@ -301,7 +301,7 @@ def prevalence_summary(spark, folder):
       ceil((count(*)) * 0.3::DOUBLE) AS t FROM labelled_rows),
     plan AS (SELECT floor(p * t / (p + n)) + CASE WHEN floor(p * t / (p + n)) + floor(n * t / (p + n)) < t
         AND p * t / (p + n) - floor(p * t / (p + n)) >= 0.5 THEN 1 ELSE 0 END AS tp, t FROM sizes)
-    SELECT case_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('7:' || case_id))
+    SELECT case_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('7:' || source || '|' || case_id))
       <= CASE WHEN label THEN tp ELSE t - tp END AS is_test FROM labelled_rows, plan""",
 )
 def stratified_split(spark, folder):
@@ -311,13 +311,48 @@ def stratified_split(spark, folder):
 @query(
     "stratified_folds",
     f"""WITH {LABELLED_SQL} SELECT case_id, label,
-    ((row_number() OVER (PARTITION BY label ORDER BY md5('7:' || case_id)) - 1) % 5)::INTEGER AS fold
+    ((row_number() OVER (PARTITION BY label ORDER BY md5('7:' || source || '|' || case_id)) - 1) % 5)::INTEGER AS fold
     FROM labelled_rows""",
 )
 def stratified_folds(spark, folder):
     return R.stratified_folds(scored_orders(spark, folder), 5).select("case_id", "label", "fold")
 
 
+# Two sources whose cases share ids: the draw must tell them apart.
+TWO_SQL = f"""{LABELLED_SQL}, two AS (SELECT source, case_id, label FROM labelled_rows UNION ALL
+  SELECT 'again', case_id, NOT label FROM labelled_rows WHERE scenario <> '1-URGENT')"""
+
+
+def two_sources(spark, folder):
+    cases = scored_orders(spark, folder)
+    again = cases.where("scenario != '1-URGENT'").select(
+        F.lit("again").alias("source"), "case_id", (~F.col("label")).alias("label"))
+    return cases.select("source", "case_id", "label").unionByName(again)
+
+
+@query(
+    "prevalence_two_sources",
+    f"""WITH {TWO_SQL}, sizes AS (SELECT count_if(label) AS p, count_if(NOT label) AS n FROM two)
+    SELECT source, case_id, label FROM (
+      SELECT two.*, row_number() OVER (PARTITION BY label ORDER BY md5('7:' || source || '|' || case_id)) AS rn, p, n FROM two, sizes)
+    WHERE CASE WHEN p::DOUBLE / (p + n) > 0.1 THEN
+      NOT label OR rn <= greatest(1, round_even(n * 0.1::DOUBLE / (1.0::DOUBLE - 0.1), 0))
+      ELSE label OR rn <= greatest(1, round_even(p * (1.0::DOUBLE - 0.1) / 0.1::DOUBLE, 0)) END""",
+)
+def prevalence_two_sources(spark, folder):
+    return R.downsample_to_prevalence(two_sources(spark, folder)).select("source", "case_id", "label")
+
+
+@query(
+    "folds_two_sources",
+    f"""WITH {TWO_SQL} SELECT source, case_id, label,
+    ((row_number() OVER (PARTITION BY label ORDER BY md5('7:' || source || '|' || case_id)) - 1) % 5)::INTEGER AS fold
+    FROM two""",
+)
+def folds_two_sources(spark, folder):
+    return R.stratified_folds(two_sources(spark, folder), 5).select("source", "case_id", "label", "fold")
+
+
 @query(
     "seeded_sample",
     f"""WITH {SCORED_SQL} SELECT case_id, scenario FROM (SELECT *, row_number() OVER (PARTITION BY scenario

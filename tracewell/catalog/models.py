@@ -230,11 +230,14 @@ diff AS (SELECT *, 1 AS surplus FROM (SELECT source, case_id, event_id, event_ty
     f"""WITH {EQUIVALENCE_SQL},
     fb AS (SELECT count_if(({" OR ".join(f"a.{n} <> b.{n}" for n in WEIGHTS)})) AS n FROM features a JOIN features_b b USING (source, case_id)),
     sb AS (SELECT max(abs(a.score - b.score)) AS d FROM scores a JOIN scores_b b USING (source, case_id)),
-    ids AS (SELECT count(*) AS n FROM a_cases)
+    ids AS (SELECT count(*) AS n FROM a_cases),
+    apart AS (SELECT count_if(a.case_id IS NULL OR b.case_id IS NULL) AS n FROM features a FULL JOIN features_b b USING (source, case_id))
     SELECT (SELECT n FROM ids) AS left_cases, (SELECT n FROM ids) AS right_cases, 0::BIGINT AS unmatched_cases,
       0::BIGINT AS moved_cases, (SELECT count(*) FROM a_cases WHERE gender = 'F') AS field_mismatches,
       (SELECT count(*) FROM a_events) AS left_events, (SELECT count(*) FROM rows_b) AS right_events,
       (SELECT count(DISTINCT case_id) FROM diff) AS event_mismatches, (SELECT n FROM fb)::BIGINT AS feature_mismatches,
+      0::BIGINT AS moved_events, (SELECT n FROM apart)::BIGINT AS unmatched_features,
+      (SELECT n FROM apart)::BIGINT AS unmatched_scores, 0::BIGINT AS weight_mismatches,
       round((SELECT d FROM sb), 9) AS max_score_delta, true AS same_ids, true AS same_order, false AS equivalent""",
 )
 def equivalence(spark, folder):
@@ -248,6 +251,37 @@ def equivalence(spark, folder):
     return report.withColumn("max_score_delta", F.round("max_score_delta", 9))
 
 
+@query(
+    "equivalence_one_sided",
+    f"""WITH {HAND_SQL}, turned AS (SELECT source, case_id FROM a_events WHERE event_type = 'lab'
+        AND case_ordinal <> -case_ordinal GROUP BY source, case_id),
+    ids AS (SELECT count(*) AS n FROM a_cases),
+    lost AS (SELECT count(*) AS n FROM features f JOIN a_cases c USING (source, case_id) WHERE gender <> 'F' OR gender IS NULL)
+    SELECT (SELECT n FROM ids) AS left_cases, (SELECT n FROM ids) AS right_cases, 0::BIGINT AS unmatched_cases,
+      0::BIGINT AS moved_cases, 0::BIGINT AS field_mismatches, (SELECT count(*) FROM a_events) AS left_events,
+      (SELECT count(*) FROM a_events) AS right_events, 0::BIGINT AS event_mismatches,
+      (SELECT count(*) FROM turned)::BIGINT AS moved_events, 0::BIGINT AS feature_mismatches,
+      (SELECT n FROM lost)::BIGINT AS unmatched_features, 0.0::DOUBLE AS max_score_delta,
+      (SELECT n FROM lost)::BIGINT AS unmatched_scores, 1::BIGINT AS weight_mismatches,
+      true AS same_ids, true AS same_order, false AS equivalent""",
+)
+def equivalence_one_sided(spark, folder):
+    """A copy without the features and scores of some cases, with labs in another order
+    and one weight changed: nothing that both sides hold differs otherwise."""
+    cases, events = activity_cases(spark, folder), activity_events(spark, folder)
+    features = T.trigger_features(events)
+    some = features.join(cases.where("gender = 'F'").select(*KEY), KEY, "left_semi")
+    turned = events.withColumn(
+        "case_ordinal",
+        F.when(F.col("event_type") == "lab", -F.col("case_ordinal")).otherwise(F.col("case_ordinal")),
+    )
+    weights = spark.createDataFrame(list(WEIGHTS.items()), "feature string, weight double")
+    other = weights.withColumn("weight", F.when(F.col("feature") == "hemoglobin_drop", 2.0).otherwise(F.col("weight")))
+    return equivalence_report(
+        cases, events, features, HAND.score(features), cases, turned, some, HAND.score(some), weights, other,
+    )
+
+
 @query("equivalence_fields",
        f"WITH {ACTIVITY_SQL} SELECT case_id, 'gender' AS field, 'F' AS left, 'f' AS right FROM a_cases WHERE gender = 'F'")
 def equivalence_fields(spark, folder):

@@ -114,6 +114,12 @@ def parse_time(c: Column) -> Column:
     return F.try_to_timestamp(F.replace(strip(c), F.lit("Z"), F.lit("")))
 
 
+def required_format(c: Column) -> Column:
+    """ISO text to timestamp; blank is null, anything else that is no time is an error."""
+    unreadable = F.raise_error(F.concat(F.lit("not a time: "), c)).cast("timestamp")
+    return F.when(strip(text_or_empty(c)) != "", F.coalesce(parse_time(c), unreadable))
+
+
 def whole_age(c: Column) -> Column:
     """Age text to a whole number; blank or malformed is 0."""
     number = F.regexp_extract(c, rf"^\s*({NUMBER})\s*$", 1).try_cast("double")

@@ -16,9 +16,6 @@ from tracewell.session import materialize
 
 PART, SPOT = "_part", "_spot"
 
-# A key with more rows than this is not given to one window task.
-HOT_ROWS = 1_000_000
-
 ROWS_BELOW = (Window.unboundedPreceding, Window.currentRow)
 
 
@@ -75,37 +72,43 @@ def running_totals(df: DataFrame, order: list[Column], totals: dict[str, str]) -
     )
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    return df.groupBy(*keys).count().agg(F.max("count")).head()[0] or 0
-
-
 def number_within(
-    df: DataFrame, keys: list[str], order: list[Column], name: str, hot_rows: int = HOT_ROWS,
-    bound: DataFrame | None = None,
+    df: DataFrame, keys: list[str], order: list[Column], name: str
 ) -> DataFrame:
-    """1-based running number per key; exact also when one key holds most rows.
+    """1-based running number per key, null keys included.
 
-    bound: a table with at least the rows of df per key that is cheaper to count.
+    A key that goes on from one range into the next is the last key of each range
+    before, so its rows there are known from one row per range.
     """
-    if largest_group(df if bound is None else bound, keys) <= hot_rows:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    ranked = global_rank(df, [F.col(k) for k in keys] + order, "_rank")
-    starts = ranked.groupBy(*keys).agg(F.min("_rank").alias("_start"))
-    return (
-        ranked.join(starts, keys)
-        .withColumn(name, (F.col("_rank") - F.col("_start") + 1).cast("int"))
-        .drop("_rank", "_start")
+    ranged = _ranged(df, [F.col(k) for k in keys] + order)
+    key = F.struct(*keys)
+    sizes = ranged.groupBy(PART, *keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(SPOT).alias("_from")
+    )
+    ends = sizes.groupBy(PART).agg(
+        F.min_by(key, "_from").alias("_head"), F.max_by(key, "_from").alias("_tail"),
+        F.max_by("_n", "_from").alias("_tail_n"),
+    )
+    earlier = ends.select(F.col(PART).alias("_earlier"), F.col("_tail").alias("_same"), F.col("_tail_n").alias("_rows"))
+    # One row per range.
+    carried = F.broadcast(
+        ends.select(PART, "_head").join(
+            earlier,
+            F.col("_head").eqNullSafe(F.col("_same")) & (F.col("_earlier") < F.col(PART)),
+        )
+        .groupBy(PART).agg(F.first("_head").alias("_head"), F.sum("_rows").alias("_before"))
+    )
+    inside = F.row_number().over(Window.partitionBy(PART, *keys).orderBy(SPOT))
+    before = F.when(F.col("_head").eqNullSafe(key), F.col("_before"))
+    return ranged.join(carried, PART, "left").select(
+        *df.columns, (inside + F.coalesce(before, F.lit(0))).cast("int").alias(name)
     )
 
 
 def lag_within(
-    df: DataFrame, keys: list[str], order: list[Column], lags: dict[str, str],
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: list[str], order: list[Column], lags: dict[str, str]
 ) -> DataFrame:
     """Adds, per {new: column}, the column's value on the previous row of the key."""
-    if largest_group(df, keys) <= hot_rows:
-        previous = Window.partitionBy(*keys).orderBy(*order)
-        return df.select("*", *[F.lag(c).over(previous).alias(n) for n, c in lags.items()])
     ranged = _ranged(df, [F.col(k) for k in keys] + order)
     inside = Window.partitionBy(PART, *keys).orderBy(SPOT)
     # Last row of each part, handed to the first row of the next part.

@@ -11,6 +11,7 @@ from tracewell.functions import columns as C
 from tracewell.functions import fixed_values as fixed
 from tracewell.operators.cohort import count_true
 from tracewell.operators.ordering import flag_smallest, global_rank
+from tracewell.schema import KEY
 
 
 def class_sizes(cases: DataFrame) -> tuple[int, int]:
@@ -34,9 +35,14 @@ def prevalence_plan(positives: int, negatives: int, target: float) -> tuple[int,
     return positives, min(negatives, max(1, keep))
 
 
+def _identity(cases: DataFrame, case: str | None):
+    """What a row is drawn by: the given column, or else the whole key of a case."""
+    return F.col(case) if case else F.concat_ws("|", *[k for k in KEY if k in cases.columns])
+
+
 def downsample_to_prevalence(
     cases: DataFrame, target: float = fixed.TARGET_PREVALENCE, seed: int = 7,
-    case: str = "case_id",
+    case: str | None = None,
 ) -> DataFrame:
     """Thin the over-represented class to the target rate; never duplicates.
 
@@ -46,7 +52,7 @@ def downsample_to_prevalence(
         raise ValueError(f"target must be between 0 and 1, got {target}")
     keep_pos, keep_neg = prevalence_plan(*class_sizes(cases), target)
     hashed = cases.where(F.col("label").isNotNull()).withColumn(
-        "_hash", C.seeded_hash(seed, F.col(case))
+        "_hash", C.seeded_hash(seed, _identity(cases, case))
     )
     return (
         flag_smallest(hashed, "_hash", {True: keep_pos, False: keep_neg}, "label", "_kept")
@@ -101,7 +107,7 @@ def split_plan(positives: int, negatives: int, test_size: float) -> tuple[int, i
 
 
 def stratified_split(
-    cases: DataFrame, test_size: float = 0.3, seed: int = 7, case: str = "case_id"
+    cases: DataFrame, test_size: float = 0.3, seed: int = 7, case: str | None = None
 ) -> DataFrame:
     """Adds is_test. At least 10 labelled rows and two classes are required."""
     positives, negatives = class_sizes(cases)
@@ -111,19 +117,19 @@ def stratified_split(
         raise ValueError("the labelled sample holds one class only")
     pos, neg = split_plan(positives, negatives, test_size)
     hashed = cases.where(F.col("label").isNotNull()).withColumn(
-        "_hash", C.seeded_hash(seed, F.col(case))
+        "_hash", C.seeded_hash(seed, _identity(cases, case))
     )
     return flag_smallest(hashed, "_hash", {True: pos, False: neg}, "label", "is_test").drop("_hash")
 
 
 def stratified_folds(
-    cases: DataFrame, k: int, seed: int = 7, case: str = "case_id", label: str = "label"
+    cases: DataFrame, k: int, seed: int = 7, case: str | None = None, label: str = "label"
 ) -> DataFrame:
     """Adds fold 0..k-1: the row's hash rank within its class, modulo k."""
     hashed = cases.where(F.col(label).isNotNull()).withColumn(
-        "_hash", C.seeded_hash(seed, F.col(case))
+        "_hash", C.seeded_hash(seed, _identity(cases, case))
     )
-    ranked = global_rank(hashed, [F.col(label), F.col("_hash"), F.col(case)], "_rank")
+    ranked = global_rank(hashed, [F.col(label), F.col("_hash"), _identity(cases, case)], "_rank")
     # One row per class.
     starts = F.broadcast(
         ranked.groupBy(label).agg(F.min("_rank").alias("_start"))

@@ -65,13 +65,29 @@ def event_mismatches(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
+def moved_events(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Cases with an event that both sides hold, at another place of the case."""
+    columns = [*KEY, *EVENT_FIELDS]
+    side = lambda df, n: df.select(*columns, "case_ordinal", F.lit(n).alias("n"))
+    placed = (
+        side(left, 1).unionByName(side(right, -1))
+        .groupBy(*columns, "case_ordinal").agg(F.sum("n").alias("n"))
+    )
+    return (
+        placed.groupBy(*columns).agg(F.sum("n").alias("n"), F.max(F.abs("n")).alias("most"))
+        .where("n = 0 AND most > 0").select(*KEY).distinct()
+    )
+
+
 def equivalence_report(
     cases_a: DataFrame, events_a: DataFrame, features_a: DataFrame, scores_a: DataFrame,
     cases_b: DataFrame, events_b: DataFrame, features_b: DataFrame, scores_b: DataFrame,
+    weights_a: DataFrame | None = None, weights_b: DataFrame | None = None,
 ) -> DataFrame:
-    """One row: ids, order, fields, events, features and the largest score difference.
+    """One row: ids, order, fields, events, features, scores, and weights if they are given.
 
-    Each part is reduced to one row of counts before the parts are combined.
+    A case with features or scores on one side only counts against the copy. Weights
+    are tables of (feature, weight). Each part is reduced to one row of counts before the parts are combined.
     """
     names = feature_names(features_a)
     pairs = _paired(cases_a, cases_b, [*FIELDS, "source_ordinal"])
@@ -89,8 +105,22 @@ def equivalence_report(
         .agg(F.sum("a").alias("left_events"), F.sum("b").alias("right_events"))
     )
     event_cases = event_mismatches(events_a, events_b).select(*KEY).distinct()
-    by_feature = _paired(features_a, features_b, names).where("in_a and in_b")
-    by_score = _paired(scores_a, scores_b, ["score"]).where("in_a and in_b")
+    features, scores = _paired(features_a, features_b, names), _paired(scores_a, scores_b, ["score"])
+    one_sided = count_true(F.col("in_a").isNull() | F.col("in_b").isNull())
+    gap = F.max(F.abs(F.col("a_score") - F.col("b_score")))
+    one_null = count_true(both & (F.col("a_score").isNull() != F.col("b_score").isNull()))
+    by_feature = features.agg(
+        F.struct(count_true(both & ~_same(names)).alias("differ"), one_sided.alias("one_sided"))
+    ).scalar()
+    by_score = scores.agg(
+        F.struct(F.coalesce(gap, F.lit(0.0)).alias("gap"), (one_sided + one_null).alias("one_sided"))
+    ).scalar()
+    weights = F.lit(0).cast("bigint")
+    if weights_a is not None and weights_b is not None:
+        pairs_w = weights_a.select("feature", F.col("weight").alias("a")).join(
+            weights_b.select("feature", F.col("weight").alias("b")), "feature", "full"
+        )
+        weights = pairs_w.agg(count_true(~F.col("a").eqNullSafe(F.col("b")))).scalar()
 
     one = lambda df, *agg: df.agg(*agg).scalar()
     report = by_case.select(
@@ -98,11 +128,12 @@ def equivalence_report(
         sides.select("left_events").scalar().alias("left_events"),
         sides.select("right_events").scalar().alias("right_events"),
         one(event_cases, count_rows()).alias("event_mismatches"),
-        one(by_feature, count_true(~_same(names))).alias("feature_mismatches"),
-        one(
-            by_score,
-            F.coalesce(F.max(F.abs(F.col("a_score") - F.col("b_score"))), F.lit(0.0)),
-        ).alias("max_score_delta"),
+        one(moved_events(events_a, events_b), count_rows()).alias("moved_events"),
+        by_feature["differ"].alias("feature_mismatches"),
+        by_feature["one_sided"].alias("unmatched_features"),
+        by_score["gap"].alias("max_score_delta"),
+        by_score["one_sided"].alias("unmatched_scores"),
+        weights.alias("weight_mismatches"),
     )
     same_ids = F.col("unmatched_cases") == 0
     return report.withColumn("same_ids", same_ids).withColumn(
@@ -112,6 +143,10 @@ def equivalence_report(
         same_ids
         & (F.col("field_mismatches") == 0)
         & (F.col("event_mismatches") == 0)
+        & (F.col("moved_events") == 0)
         & (F.col("feature_mismatches") == 0)
-        & (F.col("max_score_delta") == 0.0),
+        & (F.col("unmatched_features") == 0)
+        & (F.col("max_score_delta") == 0.0)
+        & (F.col("unmatched_scores") == 0)
+        & (F.col("weight_mismatches") == 0),
     )

@@ -81,10 +81,5 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Repartition when a scan has fewer partitions than there are cores.
-
-    A file that cannot be split (gzip, one row group) otherwise keeps all work
-    in one task. Larger inputs already have enough partitions and pass through.
-    """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+    """For files that cannot be split (gzip): deal the rows over all cores."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -17,12 +17,17 @@ def is_time_column(name: str) -> bool:
     return lowered in fixed.TIME_COLUMN_NAMES or lowered.endswith(fixed.TIME_COLUMN_ENDINGS)
 
 
+def _reader(spark: SparkSession):
+    """Quoted values may hold line breaks, and quotes that are doubled."""
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+
+
 def read_columns(
     spark: SparkSession, root: str, name: str, columns: Iterable[str] | None = None,
     schema: str | None = None,
 ) -> DataFrame:
     """One module-qualified table, e.g. hosp/labevents, from <root>/<name>.csv.gz."""
-    reader = spark.read.option("header", True)
+    reader = _reader(spark)
     df = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(
         f"{root}/{name}.csv.gz"
     )
@@ -46,14 +51,15 @@ def with_times(df: DataFrame) -> DataFrame:
 
 def read_typed(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A CSV with its time columns parsed. Give a schema to avoid the inference pass."""
-    reader = spark.read.option("header", True)
+    reader = _reader(spark)
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
-    return with_times(spread(reader.csv(path)))
+    df = reader.csv(path)
+    return with_times(spread(df) if path.endswith(".gz") else df)
 
 
 def read_text_columns(spark: SparkSession, path: str) -> DataFrame:
     """Every column as text, blanks for nulls."""
-    return spark.read.option("header", True).option("inferSchema", False).csv(path).fillna("")
+    return _reader(spark).option("inferSchema", False).csv(path).fillna("")
 
 
 def read_warehouse(spark: SparkSession, name: str, columns: Iterable[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import fixed_values as fixed
 from tracewell.operators.notes import WordLists
-from tracewell.session import spread, table
+from tracewell.session import table
 
 SOURCE = "documents"
 LISTS = WordLists(
@@ -20,7 +20,7 @@ EXPECTED = ["the", "tion", "der ", "leaux", "planned", "que"]
 
 
 def document_events(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "documents").select("doc_id", "text")).select(
+    return table(spark, folder, "documents").select("doc_id", "text").select(
         F.lit(SOURCE).alias("source"),
         F.col("doc_id").cast("string").alias("case_id"),
         F.lit(0).cast("bigint").alias("case_ordinal"),
