@@ -81,8 +81,8 @@ def test_ordinals_follow_time(foreign):
     rows = events.where("case_id = '1'").orderBy("case_ordinal").collect()
     assert [r["case_ordinal"] for r in rows] == [0, 1, 2, 3, 4]
     assert [r["event_type"] for r in rows][0] == "admission"
-    hot = H.with_case_ordinals(H.conform(foreign)[1], hot_rows=0)
-    assert hot.select("event_id", "case_ordinal").exceptAll(events.select("event_id", "case_ordinal")).count() == 0
+    again = H.with_case_ordinals(H.conform(foreign)[1].repartition(3))
+    assert again.select("event_id", "case_ordinal").exceptAll(events.select("event_id", "case_ordinal")).count() == 0
 
 
 def test_transfers_judge_the_route(spark):
@@ -91,14 +91,13 @@ def test_transfers_judge_the_route(spark):
             (1, "transfer", "Coronary Care Unit (CCU)", "2026-01-03 09:00:00"), (2, "transfer", "MICU", "2026-01-01 05:00:00"),
             (2, "discharge", None, "2026-01-09 05:00:00")]
     df = spark.createDataFrame(rows, "hadm_id int, eventtype string, careunit string, intime string")
-    for hot_rows in (0, 10**6):
-        got = [r["details"] for r in A.transfer_events(df, hot_rows=hot_rows).orderBy("hadm_id", "ts").collect()]
-        assert got == [
-            "Planned or direct admission to intensive care from Emergency Department.",
-            "Unplanned escalation to intensive care from Medicine.",
-            "Planned or direct admission to intensive care from Trauma SICU (TSICU).",
-            "Planned or direct admission to intensive care from direct.",
-        ]
+    got = [r["details"] for r in A.transfer_events(df).orderBy("hadm_id", "ts").collect()]
+    assert got == [
+        "Planned or direct admission to intensive care from Emergency Department.",
+        "Unplanned escalation to intensive care from Medicine.",
+        "Planned or direct admission to intensive care from Trauma SICU (TSICU).",
+        "Planned or direct admission to intensive care from direct.",
+    ]
 
 
 def test_readmission_gap_limits(spark):

@@ -183,3 +183,14 @@ def test_folds_are_even_per_class(make_cases):
     sizes = [r["count"] for r in folds.groupBy("label", "fold").count().collect()]
     assert len(sizes) == 10 and sum(sizes) == 120
     assert max(s for s in sizes if s < 10) - min(sizes) <= 1
+
+
+def test_samples_are_exact_when_sources_share_ids(spark):
+    rows = [(s, f"c{i}", i % 3 == 0) for s in ("a", "b") for i in range(500)]
+    cases = spark.createDataFrame(rows, "source string, case_id string, label boolean")
+    for seed in range(4):
+        keep, n = R.prevalence_plan(334, 666, 0.1)
+        kept = R.downsample_to_prevalence(cases, 0.1, seed)
+        assert kept.where("label").count() == keep and kept.where("not label").count() == n
+    split = R.stratified_split(cases, 0.3)
+    assert split.where("is_test").count() == 300

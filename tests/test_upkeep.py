@@ -10,7 +10,7 @@ from tracewell.operators import timeline as T
 from tracewell.plans import nightly
 from tracewell.plans.equivalence import equivalence_report
 from tracewell.plans.review import review_queue
-from tracewell.sources.store import CaseStore
+from tracewell.sources.store import CaseStore, StoreMoved
 from tracewell.streaming.drops import watch_drops
 
 KEY = ["source", "case_id"]
@@ -244,3 +244,81 @@ def test_review_queue(spark, cohort):
     assert [e["event_type"] for e in first["timeline"]] == ["admission", "medication", "procedure", "lab"]
     assert [f["sentence"] for f in first["findings"]] == ["Text."]
     assert first["reason"].startswith("Unplanned OR return: Control of hemorrhage")
+
+
+# --- nothing is lost -----------------------------------------------------------------
+HEADER = "role,encounter_id,age,sex,admitted,discharged,time,name,value,units,to_unit\n"
+
+
+def test_second_stream_on_the_same_store(spark, tmp_path):
+    store = CaseStore(spark, str(tmp_path / "store"))
+    for n in (1, 2):
+        folder = tmp_path / f"in{n}"
+        folder.mkdir()
+        (folder / "drop.csv").write_text(
+            HEADER + "stays,1,67,F,2026-09-01T07:12:00,,,,,,\n" +
+            "".join(f"labs,1,,,,,2026-09-0{n}T08:0{i}:00,CREAT,0.{i},mg/dL,\n" for i in range(3)))
+        watch_drops(spark, str(folder), store, str(tmp_path / f"ckpt{n}")).awaitTermination()
+    assert store.events().count() == 7
+
+
+def test_the_last_of_repeated_stays_wins(spark, tmp_path):
+    folder, store = tmp_path / "in", CaseStore(spark, str(tmp_path / "store"))
+    folder.mkdir()
+    (folder / "drop.csv").write_text(
+        HEADER + "".join(f"stays,1,{age},F,2026-09-01T07:12:00,,,,,,\n" for age in (40, 10, 30, 20)))
+    watch_drops(spark, str(folder), store, str(tmp_path / "ckpt")).awaitTermination()
+    row = store.cases().head()
+    assert row["age"] == 20 and row["source_ordinal"] == 4
+
+
+def test_without_positions_the_winner_does_not_depend_on_partitions(spark):
+    rows = [("s", "1", None, age) for age in (10, 40, 20, 30)]
+    df = spark.createDataFrame(rows, "source string, case_id string, source_ordinal bigint, age int")
+    assert {merge.last_by_key(df.repartition(n), KEY, "source_ordinal").head()["age"] for n in (1, 2, 3, 4)} == {40}
+
+
+@pytest.mark.parametrize("field", ["discharged", "time"])
+def test_unreadable_times_are_errors(spark, tmp_path, field):
+    store = CaseStore(spark, str(tmp_path / "store"))
+    bad = {"discharged": "", "time": "2026-09-01T08:00:00", field: "soon"}
+    tables = drop(spark, [("1", "5", "F", "2026-09-01T07:12:00", bad["discharged"])], meds=[("1", bad["time"], "x")])
+    with pytest.raises(Exception, match="not a time: soon"):
+        nightly.ingest(store, tables)
+    nightly.ingest(store, drop(spark, [("1", "5", "F", "2026-09-01T07:12:00", " ")], meds=[("1", " ", "x")]))
+    assert store.events().count() == 1
+
+
+def test_a_moved_log_and_a_broken_log_are_errors(spark, tmp_path, first_drop):
+    store = CaseStore(spark, str(tmp_path / "store"))
+    nightly.ingest(store, first_drop)
+    at = store.last()
+    store.compact("events")
+    with pytest.raises(StoreMoved):
+        store.write("cases", store.cases(), full=True, after=at)
+    assert store.cases().count() == 3
+    (tmp_path / "store" / "commits" / f"{at:08d}" / "part-bad.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        store.upsert_cases(store.cases())
+
+
+def test_a_run_id_is_recorded_once(spark, tmp_path, first_drop):
+    store = CaseStore(spark, str(tmp_path / "store"))
+    nightly.ingest(store, first_drop)
+    scores = store.cases().select(*KEY, F.lit(0.5).alias("score"))
+    parts = store.cases().select(*KEY, F.lit("f").alias("feature"), F.lit(1.0).alias("contribution"))
+    for _ in range(2):
+        store.write_scores(scores, parts, "logistic", run_id="run")
+    assert merge.run_contributions(store.read("scores"), store.read("contributions")).count() == 3
+
+
+def test_equivalence_counts_what_one_side_lacks(spark, cohort):
+    cases, events = cohort
+    cases = cases.select("*", F.lit(1).alias("age"), F.lit("F").alias("gender"), F.lit("s").alias("scenario"),
+                         F.lit("l").alias("label_source"), F.lit(1).alias("source_ordinal"))
+    features = T.trigger_features(events)
+    none = equivalence_report(cases, events, features, MODEL.score(features), cases, events, features.limit(0), MODEL.score(features.limit(0))).head()
+    assert not none["equivalent"] and none["unmatched_features"] == none["unmatched_scores"] == 120
+    turned = events.withColumn("case_ordinal", F.lit(100) - F.col("case_ordinal"))
+    moved = equivalence_report(cases, events, features, MODEL.score(features), cases, turned, features, MODEL.score(features)).head()
+    assert not moved["equivalent"] and moved["moved_events"] == 120 and moved["event_mismatches"] == 0

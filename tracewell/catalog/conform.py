@@ -363,7 +363,10 @@ def joined_lab_labels(spark, folder):
     )
 
 
-_NAMES = "region nation customer supplier part orders lineitem events documents".split()
+_NAMES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages "
+    "benchmark labels conversations"
+).split()
 
 
 @query(

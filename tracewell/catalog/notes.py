@@ -265,7 +265,7 @@ def held_out_texts(spark, folder):
 
 # --- trained classifier: iterative fits, rows only -----------------------------
 def framing_model(spark, folder):
-    return NM.FramingModel.fit(labelled_turns(spark, folder), max_iter=50)
+    return NM.FramingModel.fit(labelled_turns(spark, folder))
 
 
 @query("framing_model_sentences")

@@ -400,13 +400,12 @@ def readmission_gaps(
     admitted: str = "admitted_at",
     discharged: str = "discharged_at",
     window_days: int = fixed.READMISSION_DAYS,
-    **ordering,
 ) -> DataFrame:
     """Adds the previous discharge and the gap in days where it is 0..window_days."""
     order = [F.col(admitted).asc_nulls_last(), F.col(stay)]
     gap = C.days_between(F.col("previous_discharge"), F.col(admitted))
     return lag_within(
-        stays, [patient], order, {"previous_discharge": discharged}, **ordering
+        stays, [patient], order, {"previous_discharge": discharged}
     ).withColumn("readmission_gap_days", F.when(gap.between(0, window_days), gap))
 
 

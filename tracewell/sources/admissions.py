@@ -75,13 +75,13 @@ def admission_events(stays: DataFrame) -> DataFrame:
     )
 
 
-def transfer_events(transfers: DataFrame, **ordering) -> DataFrame:
+def transfer_events(transfers: DataFrame) -> DataFrame:
     """Moves into intensive care, planned or not judged by the unit before."""
     timed = transfers.withColumn("intime", F.col("intime").cast("timestamp"))
     ordered = lag_within(
         timed, ["hadm_id"],
         [F.col("intime").asc_nulls_last(), F.col("eventtype"), F.col("careunit")],
-        {"previous_unit": "careunit"}, **ordering,
+        {"previous_unit": "careunit"},
     )
     previous = F.col("previous_unit")
     planned = (
