@@ -31,12 +31,12 @@ def on_planned_route(unit: Column) -> Column:
     return F.coalesce(C.contains_any(F.lower(unit), fixed.PLANNED_ROUTE_TERMS), F.lit(False))
 
 
-def admission_stays(admissions: DataFrame, **ordering) -> DataFrame:
+def admission_stays(admissions: DataFrame) -> DataFrame:
     """Admissions with the gap since the patient's previous discharge."""
     stays = admissions.withColumn("admittime", F.col("admittime").cast("timestamp")).withColumn(
         "dischtime", F.col("dischtime").cast("timestamp")
     )
-    return readmission_gaps(stays, "subject_id", "hadm_id", "admittime", "dischtime", **ordering)
+    return readmission_gaps(stays, "subject_id", "hadm_id", "admittime", "dischtime")
 
 
 def admission_cases(patients: DataFrame, stays: DataFrame, diagnoses: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def _or(c: Column, default: str | Column) -> Column:
     return F.when(c == "", default).otherwise(c)
 
 
-def timed_encounters(encounters: DataFrame, **ordering) -> DataFrame:
+def timed_encounters(encounters: DataFrame) -> DataFrame:
     stays = encounters.select(
         F.col("Id").alias("encounter_id"), F.col("PATIENT").alias("patient_id"),
         F.col("START").cast("timestamp").alias("started"),
@@ -30,7 +30,7 @@ def timed_encounters(encounters: DataFrame, **ordering) -> DataFrame:
         _or(_clean("DESCRIPTION"), "Encounter").alias("description"),
     )
     return readmission_gaps(
-        stays, "patient_id", "encounter_id", "started", "stopped", **ordering
+        stays, "patient_id", "encounter_id", "started", "stopped"
     ).where(F.col("started").isNotNull())
 
 
