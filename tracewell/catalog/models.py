@@ -21,7 +21,7 @@ from tracewell.operators import scoring as S
 from tracewell.operators import timeline as T
 from tracewell.operators.notes import lexicon_features
 from tracewell.plans.equivalence import equivalence_report, event_mismatches, field_mismatches
-from tracewell.plans.nightly import ingest, pending
+from tracewell.plans.nightly import ingest, ingest_and_rank, pending
 from tracewell.plans.review import review_queue
 from tracewell.schema import KEY
 from tracewell.session import scratch_root, table
@@ -456,16 +456,18 @@ def fresh_store(spark) -> CaseStore:
     "nightly_cycle",
     f"""WITH {HOSPITAL_SQL} SELECT count(*) AS total, count_if(discharged_at IS NULL)::BIGINT AS in_house,
       count_if(discharged_at IS NOT NULL)::BIGINT AS discharged, (SELECT count(*) FROM h_events) AS events_stored,
-      count_if(discharged_at IS NOT NULL)::BIGINT AS ready_to_rank, 0::BIGINT AS appended_again FROM h_cases""",
+      count_if(discharged_at IS NOT NULL)::BIGINT AS ranked, 0::BIGINT AS left_to_rank, 0::BIGINT AS appended_again FROM h_cases""",
 )
 def nightly_cycle(spark, folder):
+    """A drop is taken in and ranked; the same drop again adds and ranks nothing."""
     store, tables = fresh_store(spark), hospital_tables(spark, folder)
-    first = ingest(store, tables)
-    again = ingest(store, tables)
+    first, _ = ingest_and_rank(store, tables, HAND)
+    again, _ = ingest_and_rank(store, tables, HAND)
     return again.census.select(
         "total", "in_house", "discharged",
         F.lit(first.events_appended).cast("bigint").alias("events_stored"),
-        pending(store).agg(F.count(F.lit(1))).scalar().alias("ready_to_rank"),
+        store.read("scores").agg(F.count(F.lit(1))).scalar().alias("ranked"),
+        pending(store).agg(F.count(F.lit(1))).scalar().alias("left_to_rank"),
         F.lit(again.events_appended).cast("bigint").alias("appended_again"),
     )
 
@@ -518,20 +520,49 @@ def counterfactual_log(spark, folder):
     return log.select("action", "case_id", F.get_json_object("row_json", "$.value").alias("value"))
 
 
+_RAW = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages "
+    "benchmark labels conversations"
+).split()
+
+
+def _digest(df):
+    """A sum that two tables share if their rows do, in any order."""
+    values = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")
+    return df.agg(F.coalesce(F.sum(values), F.lit(0)).alias("digest")).scalar()
+
+
 @query(
     "load_raw_tables",
     " UNION ALL ".join(
-        f"SELECT 'raw.{n}' AS table_name, count(*) AS source_rows, count(*) AS target_rows, true AS same FROM {n}"
-        for n in ("customer", "supplier", "nation")
+        f"SELECT 'raw.{n}' AS table_name, count(*) AS source_rows, count(*) AS target_rows, true AS same, "
+        f"true AS same_values FROM {n}" for n in _RAW
     ),
 )
 def load_raw_tables(spark, folder):
+    """Every table out to CSV and in again. Arrays go as text, which CSV knows alone."""
     root = fresh_store(spark).root
-    paths = {}
-    for name in ("customer", "supplier", "nation"):
-        paths[f"raw.{name}"] = f"{root}/csv/{name}"
-        table(spark, folder, name).write.option("header", True).csv(paths[f"raw.{name}"])
-    return load_tables(spark, paths, f"{root}/tables")
+    paths, schemas, written, same = {}, {}, {}, F.lit(None).cast("boolean")
+    for name in _RAW:
+        df = table(spark, folder, name)
+        df = df.select(*[
+            F.to_json(c).alias(c) if kind.startswith("array") else F.col(c) for c, kind in df.dtypes
+        ])
+        raw = f"raw.{name}"
+        paths[raw], schemas[raw] = f"{root}/csv/{name}", df.schema
+        (
+            df.write.option("header", True).option("escape", '"')
+            .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+            .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+            .csv(paths[raw])
+        )
+        written[raw] = df
+    counted = load_tables(spark, paths, f"{root}/tables", schemas)
+    for raw, df in written.items():
+        stored = spark.read.schema(df.schema).parquet(f"{root}/tables/{raw.replace('.', '/')}")
+        same = F.when(F.col("table_name") == raw, _digest(df) == _digest(stored)).otherwise(same)
+    return counted.withColumn("same_values", same)
 
 
 @query(
