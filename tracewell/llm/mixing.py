@@ -13,8 +13,8 @@ which has a row per leaf and no documents.
 
 A leaf's budget is whole epochs and a prefix of one more, in the order of
 md5(seed:epoch:id). The prefix is cut without sorting a leaf: tokens are summed per leaf and
-first four hex digits, the running sum over those (65,536 at most) finds the group with the cut,
-and only that group's documents are ordered.
+first two hex digits, the running sum over those (256 at most) finds the group with the cut, the same
+goes on inside that group, and after three levels the documents of one group in 16,777,216 are ordered.
 
 Everything is built-in expressions, joins and grouped sums. Defined cases: tokens are runs of
 `[^\\x20\\x09-\\x0D]`; null and empty texts have 0 and follow their place in the order; null
@@ -31,7 +31,10 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.common import checkpointed
 
-DIGITS = 4
+# Hex digits of a place that one level looks at, and levels before single documents.
+DIGITS, LEVELS = 2, 3
+# Leaves up to this count (rows of some 100 bytes) are broadcast.
+BROADCAST_LEAVES = 200_000
 LEAF = ["domain", "lang", "source"]
 
 
@@ -105,18 +108,36 @@ def leaf_cuts(rows: DataFrame, tree: Tree, budget_share: float, max_epochs: int,
         .withColumn("epochs", F.floor(F.col("budget") / F.col("tokens")).cast("bigint"))
         .select(*LEAF, "tokens", "budget", "epochs", (F.col("budget") - F.col("epochs") * F.col("tokens")).alias("left"))
     )
-    placed = rows.join(budgets.select(*LEAF, "epochs", "left"), LEAF).withColumn("place", _place(seed)).withColumn("front", F.substring("place", 1, DIGITS))
-    fronts = placed.groupBy(*LEAF, "front").agg(F.sum("n").alias("n"), F.max("left").alias("left"))
-    so_far = Window.partitionBy(*LEAF).orderBy("front")
-    fronts = fronts.withColumn("upto", F.sum("n").over(so_far))
-    # The group in which the running sum passes what is left; the groups before it are taken.
-    crossing = fronts.where("upto > left AND upto - n <= left").select(*LEAF, "front", (F.col("upto") - F.col("n")).alias("before"))
-    inside = placed.join(crossing, [*LEAF, "front"]).groupBy(*LEAF, "place", "left", "before").agg(F.sum("n").alias("n"))
-    exact = inside.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy(*LEAF).orderBy("place")))
+    # What is left of each leaf's budget, and the first digits of the places that hold its cut.
+    open_ = budgets.select(*LEAF, "epochs", "left", F.lit("").alias("front"))
+    for level in range(1, LEVELS + 1):
+        fronts = (
+            _inside(rows, open_, seed).groupBy(*LEAF, F.substring("place", 1, level * DIGITS).alias("next"))
+            .agg(F.sum("n").alias("n"), F.max("left").alias("left"), F.max("epochs").alias("epochs"))
+        )
+        upto = F.sum("n").over(Window.partitionBy(*LEAF).orderBy("next"))
+        # The group in which the running sum passes what is left; the groups before it are taken.
+        open_ = checkpointed(
+            fronts.withColumn("upto", upto).where("upto > left AND upto - n <= left")
+            .select(*LEAF, "epochs", (F.col("left") - F.col("upto") + F.col("n")).alias("left"), F.col("next").alias("front"))
+        )
+    exact = _inside(rows, open_, seed).groupBy(*LEAF, "place", "left").agg(F.sum("n").alias("n"))
+    exact = exact.withColumn("upto", F.sum("n").over(Window.partitionBy(*LEAF).orderBy("place")))
     last = exact.where("upto <= left").groupBy(*LEAF).agg(F.max("place").alias("inner"))
-    # Without a document of the crossing group, all places before that group are taken.
-    cuts = budgets.join(crossing.select(*LEAF, "front"), LEAF, "left").join(last, LEAF, "left")
-    return cuts.select(*LEAF, "tokens", "budget", "epochs", F.coalesce("inner", "front").alias("cut"))
+    # Without a document of the last group, all places before that group are taken.
+    cuts = budgets.join(open_.select(*LEAF, "front"), LEAF, "left").join(last, LEAF, "left")
+    return checkpointed(cuts.select(*LEAF, "tokens", "budget", "epochs", F.coalesce("inner", "front").alias("cut")))
+
+
+def _beside(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+    """rows with the columns of their leaf. A counted table of leaves is broadcast, a larger one shuffled."""
+    few = leaves.count() <= BROADCAST_LEAVES
+    return rows.join(F.broadcast(leaves) if few else leaves, LEAF)
+
+
+def _inside(rows: DataFrame, open_: DataFrame, seed: int) -> DataFrame:
+    """The rows whose place begins with the front of their leaf."""
+    return _beside(rows, open_).withColumn("place", _place(seed)).where(F.col("place").startswith(F.col("front")))
 
 
 def mix(docs: DataFrame, tree: Tree, budget_share: float = 0.6, max_epochs: int = 2, seed: int = 42,
@@ -129,7 +150,7 @@ def mix(docs: DataFrame, tree: Tree, budget_share: float = 0.6, max_epochs: int
     rows = checkpointed(docs.select(key, *tree.leaf(), token_count(text_column).alias("n")))
     cuts = leaf_cuts(rows, tree, budget_share, max_epochs, seed)
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key, *tree.leaf())
-    taken = held.join(cuts.select(*LEAF, "epochs", "cut"), LEAF).withColumn("place", _place(seed))
+    taken = _beside(held, cuts.select(*LEAF, "epochs", "cut")).withColumn("place", _place(seed))
     times = F.col("epochs") + F.coalesce((F.col("place") <= F.col("cut")).cast("bigint"), F.lit(0))
     out = taken.select("row", times.alias("times")).where("times > 0")
     return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != times_column], F.col("times").alias(times_column))
