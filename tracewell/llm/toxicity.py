@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIT_ROWS = 20_000
+FIT_PARTITIONS = 2
 LEXICON_TERMS = 2_000
 LEAST_ROWS = 3          # toxic rows that must hold a learned term
 LEAST_SHARE = 0.002     # and their share of all toxic rows
@@ -55,6 +57,9 @@ LEET = str.maketrans("0134578@$!|", "oieastbasil")
 _EDGE = ".,!?;:\"'()[]{}<>|*#$%&-_"
 _MIXED = re.compile(r"[^\W\d_][^\w\s]+[^\W\d_]|[^\W\d_]\d|\d[^\W\d_]")
 _JOINED = re.compile(r"[\W_]+")
+_PLAIN = re.compile(r"[\w\s]+")
+_CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ]")
+REMEMBERED = 200_000    # words that a task remembers; beyond that it starts anew
 
 NAMES = (
     "log_words fixed_density fixed_count fixed_distinct word_density word_count word_distinct "
@@ -67,51 +72,77 @@ def terms_of(text: str) -> list[str]:
     return [w.strip(_EDGE) for w in text.lower().split()]
 
 
+class Features:
+    """The features of a text under one lexicon. What a word says is worked out once."""
+
+    def __init__(self, lexicon: dict[str, float]):
+        self.lexicon = lexicon
+        self.known: dict[str, tuple | None] = {}
+
+    def word(self, raw: str) -> tuple | None:
+        """(insult, second person, own weight, weight of its beginning, mixed, hidden, shouted)."""
+        w = raw.lower().strip(_EDGE)
+        begins = [b for k in BEGINNINGS if len(w) > k and (b := "^" + w[:k]) in self.lexicon]
+        begun = max(map(self.lexicon.get, begins), default=None)
+        mixed = bool(_MIXED.search(raw))
+        plain = _JOINED.sub("", raw.lower().translate(LEET)) if mixed else ""
+        said = (
+            w in INSULTS, w in SECOND_PERSON, self.lexicon.get(w), begun, mixed,
+            mixed and (plain in INSULTS or plain in self.lexicon), raw.isupper() and len(raw) > 1, w,
+        )
+        return said if any(x is not None and x is not False for x in said[:-1]) else None
+
+    def __call__(self, text: str) -> list[float]:
+        raw, known = text.split(), self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        n = max(len(raw), 1)
+        fixed, word, beginning, best = [], [], [], {}
+        mixed = hidden = shouted = 0
+        second, hits = [], []
+        for i, token in enumerate(raw):
+            if token in known:
+                said = known[token]
+            else:
+                said = known[token] = self.word(token)
+            if said is None:
+                continue
+            insult, person, own, begun, is_mixed, is_hidden, is_shouted, w = said
+            if insult:
+                fixed.append(w)
+            if person:
+                second.append(i)
+            if own is not None:
+                word.append(w)
+            if begun is not None:
+                beginning.append(w)
+            if own is not None or begun is not None:
+                best[w] = max(own or 0.0, begun or 0.0)
+            if insult or w in best:
+                hits.append(i)
+            mixed += is_mixed
+            hidden += is_hidden
+            shouted += is_shouted
+        near, j = 0, 0
+        for i in hits:
+            while j < len(second) and second[j] < i - NEAR:
+                j += 1
+            near += j < len(second) and second[j] <= i + NEAR
+        chars = max(len(text), 1)
+        signs = len(text) - sum(map(len, _PLAIN.findall(text)))
+        evidence = sum(best.values())
+        return [
+            math.log1p(len(raw)), 100 * len(fixed) / n, float(len(fixed)), float(len(set(fixed))),
+            100 * len(word) / n, float(len(word)), float(len(set(word))),
+            100 * len(beginning) / n, float(len(beginning)), float(len(set(beginning))),
+            evidence, 100 * evidence / n, max(best.values(), default=0.0),
+            float(near), 100 * len(second) / n, 100 * hidden / n, 100 * mixed / n,
+            len(_CAPITAL.findall(text)) / chars, shouted / n, signs / chars, text.count("!") / n,
+        ]
+
+
 def features(text: str, lexicon: dict[str, float]) -> list[float]:
-    raw = text.split()
-    words = [w.strip(_EDGE) for w in text.lower().split()]
-    n = max(len(words), 1)
-    fixed, word, beginning, hidden, second, hits = [], [], [], 0, [], []
-    for i, w in enumerate(words):
-        hit = False
-        if w in INSULTS:
-            fixed.append(w)
-            hit = True
-        if w in SECOND_PERSON:
-            second.append(i)
-        if w in lexicon:
-            word.append(w)
-            hit = True
-        begins = [b for k in BEGINNINGS if len(w) > k and (b := "^" + w[:k]) in lexicon]
-        if begins:
-            beginning.append((w, max(map(lexicon.get, begins))))
-            hit = True
-        if hit:
-            hits.append(i)
-    # obfuscated words: letters mixed with digits or signs
-    mixed = [w for w in raw if _MIXED.search(w)]
-    for w in mixed:
-        plain = _JOINED.sub("", w.lower().translate(LEET))
-        hidden += plain in INSULTS or plain in lexicon
-    near, j = 0, 0
-    for i in hits:
-        while j < len(second) and second[j] < i - NEAR:
-            j += 1
-        near += j < len(second) and second[j] <= i + NEAR
-    chars = max(len(text), 1)
-    signs = len(text) - sum(map(len, re.findall(r"[\w\s]+", text)))
-    begun = dict(beginning)
-    best = {w: max(lexicon.get(w, 0.0), begun.get(w, 0.0)) for w in {*word, *begun}}
-    evidence = sum(best.values())
-    return [
-        math.log1p(len(words)), 100 * len(fixed) / n, float(len(fixed)), float(len(set(fixed))),
-        100 * len(word) / n, float(len(word)), float(len(set(word))),
-        100 * len(beginning) / n, float(len(beginning)), float(len(begun)),
-        evidence, 100 * evidence / n, max(best.values(), default=0.0),
-        float(near), 100 * len(second) / n, 100 * hidden / n, 100 * len(mixed) / n,
-        sum(map(str.isupper, text)) / chars, sum(w.isupper() and len(w) > 1 for w in raw) / n,
-        signs / chars, text.count("!") / n,
-    ]
+    return Features(lexicon)(text)
 
 
 @dataclass
@@ -130,7 +161,7 @@ class ToxicityModel:
             out = held.withColumn("score", F.lit(float(self.rate)))
         else:
             text = F.col("row").getField(text_column)
-            out = held.withColumn("features", array_to_vector(_features(self.lexicon, docs.sparkSession)(text)))
+            out = held.withColumn("features", array_to_vector(_features(docs.sparkSession, self.lexicon)(text, F.lit(0))))
             out = self.trees.transform(out).withColumn("raw", vector_to_array("probability")[1])
             out = self.calibration.transform(out)
             # The trees' own order decides between equal calibrated scores.
@@ -139,12 +170,15 @@ class ToxicityModel:
         return out.select("row", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def _features(lexicon: dict[str, float], spark):
-    terms = spark.sparkContext.broadcast(lexicon)
+def _features(spark, *lexicons: dict[str, float]):
+    """Features of a text under the lexicon of the given number."""
+    terms = spark.sparkContext.broadcast(lexicons)
 
     @F.pandas_udf("array<double>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([features(t or "", terms.value) for t in texts], dtype=object)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        scorers = [Features(lexicon) for lexicon in terms.value]
+        for texts, which in batches:
+            yield pd.Series([scorers[k](t or "") for t, k in zip(texts, which, strict=True)], dtype=object)
 
     return run
 
@@ -226,13 +260,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
         return ToxicityModel({}, None, None, toxic / max(sum(seen.values()), 1))
     first, second, both = _lexicons(sample)
     table = (
-        sample.withColumn("features", array_to_vector(F.when(F.col("half") == 0, _features(second, spark)("text")).otherwise(_features(first, spark)("text"))))
-        .select("half", "features", F.col("label").cast("double").alias("label"))
-        .coalesce(spark.sparkContext.defaultParallelism).persist()
+        sample.withColumn("features", array_to_vector(_features(spark, second, first)("text", "half")))
+        .select("half", "features", F.col("label").cast("double").alias("label")).persist()
     )
-    trees = GBTClassifier(featuresCol="features", labelCol="label", **TREES).fit(table.where("half = 0"))
-    judged = trees.transform(table.where("half = 1")).select("label", vector_to_array("probability")[1].alias("raw"))
+    # A bounded sample of short rows: many small jobs go over few partitions.
+    table.count()
+    rows = table.coalesce(FIT_PARTITIONS).persist()
+    trees = GBTClassifier(featuresCol="features", labelCol="label", **TREES).fit(rows.where("half = 0"))
+    judged = trees.transform(rows.where("half = 1")).select("label", vector_to_array("probability")[1].alias("raw"))
     calibration = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="calibrated").fit(judged)
+    rows.unpersist()
     table.unpersist()
     sample.unpersist()
     return ToxicityModel(both, trees, calibration, toxic / sum(seen.values()))
