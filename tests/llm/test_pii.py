@@ -53,6 +53,22 @@ def test_examples():
     assert redact("a b@c.de +1 555 555 5555.", find_spans("a b@c.de +1 555 555 5555.")) == "a <EMAIL> <PHONE>."
 
 
+@pytest.mark.parametrize("text,value", [
+    ("IBAN: DE89 3704 0044 0532 0130 00 and more", "DE89 3704 0044 0532 0130 00"), ("IBAN DE89370400440532013000.", "DE89370400440532013000"),
+    ("iban (GB29-NWBK-6016-1331-9268-19)", "GB29-NWBK-6016-1331-9268-19"), ("account no. NO93 8601 1117 947 x", "NO93 8601 1117 947"),
+    ("IBAN: DE88 3704 0044 0532 0130 00", None), ("Iban numbers are long", None),
+    ('{"token": "abcd1234"}', "abcd1234"), ("{'api_key' : 'abcd1234'}", "abcd1234"), ('{"iban": "DE89 3704 0044 0532 0130 00"}', "DE89 3704 0044 0532 0130 00"),
+    ("account number: 12345678", "12345678"), ("Account No. 12345678", "12345678"), ("account: 1234 5678 9012, x", "1234 5678 9012"),
+    ("account: 12345678abc", "12345678abc"), ("secret_key = abcd1234", "abcd1234"), ("accountNumber=12345678", "12345678"),
+    ("token      =         abcd1234", "abcd1234"), ("password: p@ss!word", "p@ss!word"), ("password: p@ss!word, then", "p@ss!word"),
+    ('password: "two words"', "two words"), (r'password="a\"b cd"', r'a\"b cd'), ('password: "never closed', "never"), ("?token=abcd1234&x=1", "abcd1234"),
+    ("password=ab&cd,ef;gh", "ab&cd,ef;gh"), ("SSN 123-45-6789", "123-45-6789"), ("ssn: 123 45 6789", "123 45 6789"),
+    ("the account was closed", None), ("password: abc", None), ("token" + " " * 100_000, None),
+])
+def test_account_forms(text, value):
+    assert [text[a:b] for k, a, b in find_spans(text) if k == "account"] == ([] if value is None else [value])
+
+
 def test_defined_cases(spark):
     long = "x " * 500_000 + "a@b.cd"
     rows = [(1, None, 9), (2, "", 9), (3, long, 9), (None, "a@b.cd", None), (3, long, 9)]

@@ -14,8 +14,15 @@ non-overlapping per kind; a match that fails its check is dropped and not tried
 - phone: plus, digits with blanks, dots, brackets or hyphens between, 9 to 15 digits
 
 The method adds two kinds: `login` (user and password of a URL, from `://` to the at-sign
-before the host) and `account` (the value behind a cue such as `password=`, `token = "..."`,
-`IBAN: ...`).
+before the host) and `account` (the value behind a cue such as `password=`, `"token": "..."`,
+`account number: ...`):
+
+- the cue may go on in joined words (`_key`, `number`, `no.`) and end in a quote; blanks are not limited
+- IBAN (cues `iban` and `account`): groups of letters and digits, with or without a colon; the length of its
+  country and mod 97. Behind `iban` nothing else is a value, behind `account` anything is that follows `:` or `=`
+- `ssn`: 3, 2 and 4 digits, with or without a colon, no part zero; else as below
+- `account`: all groups of its digits, also without a colon if `number` or `no.` goes before
+- others: what a quote encloses on its line, or a run without blanks; 4 characters or more
 
 Positions are code points, end exclusive. Defined cases: null and empty texts have no
 spans; overlapping spans of different kinds are all reported; redaction replaces
@@ -45,7 +52,22 @@ _IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOGIN = re.compile(r"://([^\s/?#@]+)@")
-_VALUE = re.compile(r"[\x20\t]{0,4}[:=][\x20\t]{0,4}(?:\"([^\"\s]{4,})\"|'([^'\s]{4,})'|([A-Za-z0-9_./+~-]{4,}))")
+_JOINED = re.compile(r"(?:[\x20\t]*+[_.-]?[\x20\t]*+(?:(?:keys?|numbers?|ids?|codes?|values?|hash|phrase)(?![a-z0-9])|(?:no|nr|num)(?:\.|(?![a-z0-9]))|\#))*+")
+_IS = re.compile(r"[\"'`]?[\x20\t]*+[:=][=>]?[\x20\t]*+")
+_BEFORE_NUMBER = re.compile(r"[\x20\t:=(\[\"'`]++")
+_QUOTED = re.compile(r"\"((?:[^\"\\\n]|\\.){4,}+)\"|'((?:[^'\\\n]|\\.){4,}+)'")
+# Quotes inside of a run belong to it; a comma, semicolon or ampersand before the next `name=` does not.
+_RUN = re.compile(r"[\"']?((?:(?![&,;][\w.-]*+[:=])[^\s\"'<>]|[\"'](?=[^\W_]))++)")
+_GROUPS = re.compile(r"[0-9]{2,}+(?:[\x20-][0-9]{2,}+)*+(?![A-Za-z0-9])")
+_SSN = re.compile(r"(?!000|666|9)[0-9]{3}([\x20-]?)(?!00)[0-9]{2}\1(?!0000)[0-9]{4}(?![0-9])")
+_IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[\x20\t\xa0-]?[A-Za-z0-9]){11,30}")
+# Characters of an IBAN by country; others may have 15 to 34.
+IBAN_LENGTHS = {code: n for n, codes in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}.items() for code in codes.split()}
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGITS = frozenset("0123456789")
 
@@ -59,7 +81,7 @@ def _anchors() -> ahocorasick.Automaton:
     machine.add_word("+", ("plus", 1))
     machine.add_word("://", ("scheme", 3))
     for cue in CUES:
-        machine.add_word(cue, ("cue", len(cue)))
+        machine.add_word(cue, (cue, len(cue)))
     machine.make_automaton()
     return machine
 
@@ -76,6 +98,49 @@ def _only_digits(text: str) -> str:
     return "".join(c for c in text if c in _DIGITS)
 
 
+def mod97(iban: str) -> bool:
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
+def _iban_end(text: str, at: int) -> int | None:
+    """Where an IBAN that starts at `at` ends."""
+    m = _IBAN.match(text, at)
+    if not m:
+        return None
+    ends = [i + 1 for i in range(at, m.end()) if text[i].isalnum()]
+    whole = "".join(text[i - 1] for i in ends).upper()
+    length = IBAN_LENGTHS.get(whole[:2])
+    for n in [length] if length else range(len(ends), 14, -1):
+        if n <= len(ends) and not text[ends[n - 1]:ends[n - 1] + 1].isalnum() and mod97(whole[:n]):
+            return ends[n - 1]
+    return None
+
+
+def _account(text: str, lowered: str, cue: str, after: int) -> tuple[int, int] | None:
+    """Start and end of the value behind a cue that ends before `after`."""
+    joined = _JOINED.match(lowered, after).end()
+    said = _IS.match(text, joined)
+    before = _BEFORE_NUMBER.match(text, joined)
+    at = before.end() if before else joined
+    if before or joined > after:
+        if cue in ("iban", "account") and (end := _iban_end(text, at)):
+            return at, end
+        if cue == "ssn" and (m := _SSN.match(text, at)):
+            return m.span()
+        if cue == "account" and (said or joined > after) and (m := _GROUPS.match(text, at)) and len(m[0]) >= 4:
+            return m.span()
+    if not said or cue == "iban":
+        return None
+    if m := _QUOTED.match(text, said.end()):
+        return m.span(m.lastindex)
+    if m := _RUN.match(text, said.end()):
+        start, end = m.span(1)
+        end = start + len(m[1].rstrip(".,;:?)]}"))
+        if end - start >= 4:
+            return start, end
+    return None
+
+
 def _lower(text: str) -> str:
     """A-Z in lower case; other letters stay, so that positions hold."""
     return text.translate(_TO_LOWER)
@@ -119,10 +184,9 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
             if at >= done["login"] and (m := _LOGIN.match(text, at)):
                 done["login"] = m.end()
                 found.append(("login", m.start(1), m.end(1)))
-        elif at >= done["account"] and (at == 0 or not text[at - 1].isalnum()) and (m := _VALUE.match(text, last + 1)):
-            done["account"] = m.end()
-            group = m.lastindex
-            found.append(("account", m.start(group), m.end(group)))
+        elif at >= done["account"] and (at == 0 or not text[at - 1].isalnum()) and (span := _account(text, lowered, anchor, last + 1)):
+            done["account"] = span[1]
+            found.append(("account", *span))
     found.sort(key=lambda s: (s[1], _ORDER[s[0]]))
     return found
 
