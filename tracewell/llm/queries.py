@@ -139,6 +139,37 @@ def op8(spark, folder):
     return out.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+def _periodic_damage(docs):
+    """Words from a document-dependent place on repeated with a period, in a tenth of the documents (by their id)."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), 0)
+    hit = docs.where(h % 10 == 0).select("doc_id", words.alias("w"), F.floor(h / 10).alias("g"))
+    n = F.size("w")
+    hit = hit.select("doc_id", "w", "g", (F.col("g") % F.greatest(n, F.lit(1))).cast("int").alias("a"))
+    hit = hit.select("doc_id", "w", "a", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int").alias("p"))
+    taken = lambda w, i: F.when(i < F.col("a"), w).otherwise(F.element_at("w", F.col("a") + (i - F.col("a")) % F.col("p") + 1))
+    hit = hit.select("doc_id", F.array_join(F.transform("w", taken), " ").alias("text"))
+    return docs.where(F.coalesce(h % 10 != 0, F.lit(True))).select("doc_id", "text").unionAll(hit)
+
+
+@query("op11_periodic_runs")
+def op11(spark, folder):
+    """Runs of the damaged documents; a null id is damaged nowhere."""
+    from tracewell.llm.periodic import periodic_runs
+
+    found = periodic_runs(_periodic_damage(read(spark, folder, "documents")))
+    text = lambda x: F.concat_ws(",", x["start"].cast("string"), x["length"].cast("string"), x["period"].cast("string"))
+    lines = F.array_join(F.transform("runs", lambda x: F.concat(text(x), F.lit("\n"))), "")
+    order = F.transform("runs", lambda x: F.struct((-x["length"]).alias("less"), x["start"].alias("start"), x["period"].alias("period")))
+    top = F.array_min(order)
+    out = found.select("doc_id", "n_words", F.size("runs").cast("bigint").alias("n_runs"), top.alias("top"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = -F.col("top.less"), F.col("top.period")
+    return out.select(
+        "doc_id", "n_runs", F.col("top.start").alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).cast("bigint").alias("exponent_milli"), "runs_sha256", "collapsed_sha256", "n_words",
+    )
+
+
 @query("op10_html_extraction")
 def op10(spark, folder):
     from tracewell.llm.extract import extract_text
