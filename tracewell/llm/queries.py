@@ -170,6 +170,18 @@ def op11(spark, folder):
     )
 
 
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+@query("op12_bpe_round_trip")
+def op12(spark, folder):
+    from tracewell.llm.bpe import decode_ids, encode_texts
+
+    out = decode_ids(encode_texts(read(spark, folder, "documents"), TOKENIZER), TOKENIZER)
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 @query("op10_html_extraction")
 def op10(spark, folder):
     from tracewell.llm.extract import extract_text
