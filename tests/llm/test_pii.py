@@ -92,3 +92,10 @@ def test_whole_table(spark):
         assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, _, _ in base) for kind in BASE_KINDS]
         assert {tuple(map(str, s)) for s in base} <= {tuple(s.split(":")) for s in r.spans.split(",")}
+
+
+def test_very_long_digit_runs():
+    """Python refuses to read numbers of more than 4,300 digits."""
+    for text, want in (("0" * 10_000 + ".1.1.1", True), ("0" * 10_000 + "255.0.0.0" + "0" * 9_000, True), ("9" * 10_000 + ".1.1.1", False), ("1.1.1." + "0" * 5_000 + "256", False)):
+        assert [s for s in find_spans(text) if s[0] == "ip"] == ([("ip", 0, len(text))] if want else [])
+    assert find_spans("card " + "4" * 20_000) == []

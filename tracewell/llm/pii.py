@@ -161,7 +161,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
                 continue                # inside a run that was tried from its start
             if at >= done["ip"] and (m := _IP.match(text, at)):
                 done["ip"] = m.end()
-                if all(len(g.lstrip("0")) <= 3 and int(g) <= 255 for g in m.groups()):
+                if all(len(g) <= 3 and int(g) <= 255 for g in (g.lstrip("0") or "0" for g in m.groups())):
                     found.append(("ip", at, m.end()))
             if at >= done["card"] and (m := _CARD.match(text, at)):
                 done["card"] = m.end()
