@@ -69,14 +69,35 @@ def test_each_distinct_word_is_encoded_once(monkeypatch):
     batch = pa.record_batch([pa.array([1, 2, 3]), pa.array(texts)], ["doc_id", "text"])
     blocks = list(B._split(told, 2, 3)([batch]))
     assert sum(b.num_rows for b in blocks) == 3
-    asked = [(i, s["shard"], s["words"]) for i, b in enumerate(blocks) for s in b.column("shards").to_pylist()[0]]
+    asked = [(i, 0, s["shard"], s["words"]) for i, b in enumerate(blocks) for s in b.column("shards").to_pylist()[0]]
     seen, honest = [], B.Splitter.encode
     monkeypatch.setattr(B.Splitter, "encode", lambda self, words: (seen.extend(words), honest(self, words))[1])
     columns = [pa.array(c) for c in zip(*asked, strict=True)]
-    list(B._encode(told, 100)([pa.record_batch(columns, ["block", "shard", "words"])]))
+    list(B._encode(told, 100)([pa.record_batch(columns, ["block", "mark", "shard", "words"])]))
     assert sorted(seen) == sorted({w for t in texts for w in B.Splitter(told.value).words(t)})
 
 
+def test_one_exchange_and_settled_inputs(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    encoded = B.encode_texts(docs, TOKENIZER)
+    encoded.write.format("noop").mode("overwrite").save()
+    assert B.settled(docs) is docs and B.settled(docs.where("doc_id > 3")) is not None
+    assert "parquet" in B.settled(docs.repartition(2))._jdf.queryExecution().executedPlan().toString().lower()
+    assert "Repartition" not in B.settled(docs.repartition(2))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_block_made_anew_with_other_words_is_an_error():
+    told = type("Told", (), {"value": B.read_tokenizer(TOKENIZER)})
+    batch = lambda texts: pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    first, second = (next(B._split(told, 1, 100)([batch(t)])) for t in (["one two", "three"], ["three", "one two"]))
+    asked = next(B._ask([first.append_column("block", pa.array([0]))]))
+    found = next(B._encode(told, 100)([asked])).to_pylist()
+    join = lambda block: block.append_column("found", pa.array([found]))
+    assert [r["doc_id"] for b in B._assemble([join(first)]) for r in b.to_pylist()] == [0, 1]
+    with pytest.raises(RuntimeError):
+        list(B._assemble([join(second)]))
+
+
 def test_decoding_any_ids(spark, library):
     lists = [None, [], [50256, 50256], [None, 262], [-1, 50257, 10**9, 11], [447], [447, 247, 220], [0, 255, 50255]]
     df = spark.createDataFrame(list(enumerate(lists)), "doc_id bigint, ids array<int>").selectExpr("*", "'clash' AS text")
