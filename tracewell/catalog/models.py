@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tracewell.catalog.common import plain
@@ -27,7 +28,7 @@ from tracewell.schema import KEY
 from tracewell.session import scratch_root, table
 from tracewell.sources import hospital as H
 from tracewell.sources.activity import ACTIVITY_SQL, activity_cases, activity_events
-from tracewell.sources.csv_tables import load_tables
+from tracewell.sources.csv_tables import digest, load_tables
 from tracewell.sources.raw_extracts import HOSPITAL_SQL, hospital_tables
 from tracewell.sources.store import CaseStore
 from tracewell.streaming.drops import watch_drops
@@ -526,43 +527,37 @@ _RAW = (
 ).split()
 
 
-def _digest(df):
-    """A sum that two tables share if their rows do, in any order."""
-    values = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")
-    return df.agg(F.coalesce(F.sum(values), F.lit(0)).alias("digest")).scalar()
-
-
 @query(
     "load_raw_tables",
     " UNION ALL ".join(
         f"SELECT 'raw.{n}' AS table_name, count(*) AS source_rows, count(*) AS target_rows, true AS same, "
-        f"true AS same_values FROM {n}" for n in _RAW
+        f"true AS same_values, 0::BIGINT AS malformed FROM {n}" for n in _RAW
     ),
 )
 def load_raw_tables(spark, folder):
     """Every table out to CSV and in again. Arrays go as text, which CSV knows alone."""
     root = fresh_store(spark).root
-    paths, schemas, written, same = {}, {}, {}, F.lit(None).cast("boolean")
+    paths, schemas, written = {}, {}, []
     for name in _RAW:
         df = table(spark, folder, name)
         df = df.select(*[
             F.to_json(c).alias(c) if kind.startswith("array") else F.col(c) for c, kind in df.dtypes
         ])
-        raw = f"raw.{name}"
+        raw, seen = f"raw.{name}", Observation(f"write-{name}")
         paths[raw], schemas[raw] = f"{root}/csv/{name}", df.schema
         (
-            df.write.option("header", True).option("escape", '"')
+            df.observe(seen, digest(df.columns).alias("digest")).write.option("header", True).option("escape", '"')
             .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
             .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
             .csv(paths[raw])
         )
-        written[raw] = df
-    counted = load_tables(spark, paths, f"{root}/tables", schemas)
-    for raw, df in written.items():
-        stored = spark.read.schema(df.schema).parquet(f"{root}/tables/{raw.replace('.', '/')}")
-        same = F.when(F.col("table_name") == raw, _digest(df) == _digest(stored)).otherwise(same)
-    return counted.withColumn("same_values", same)
+        written.append((raw, seen.get["digest"]))
+    loaded = load_tables(spark, paths, f"{root}/tables", schemas)
+    before = spark.createDataFrame(written, "table_name string, before decimal(38,0)")
+    return loaded.join(before, "table_name").select(
+        "table_name", "source_rows", "target_rows", "same", (F.col("digest") == F.col("before")).alias("same_values"), "malformed",
+    )
 
 
 @query(

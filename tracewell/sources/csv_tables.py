@@ -1,15 +1,24 @@
-"""CSV readers. gzip files cannot be split, so wide reads are spread afterwards."""
+"""CSV readers.
+
+Plain files are split: records that go over several lines are stitched by `csv_records`. gzip files cannot be
+split, so wide reads of them are spread afterwards. Values that their column's type cannot hold
+are null, and the record is kept in `_malformed` for those who count or look at them.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.functions import columns as C
 from tracewell.functions import fixed_values as fixed
-from tracewell.session import spread
+from tracewell.session import materialize, spread
+from tracewell.sources.csv_records import range_quotes, records
+
+MALFORMED = "_malformed"
 
 
 def is_time_column(name: str) -> bool:
@@ -18,8 +27,56 @@ def is_time_column(name: str) -> bool:
 
 
 def _reader(spark: SparkSession):
-    """Quoted values may hold line breaks, and quotes that are doubled."""
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    """Quoted values may hold quotes that are doubled."""
+    return spark.read.option("header", True).option("escape", '"')
+
+
+def _as_schema(schema: str | T.StructType) -> T.StructType:
+    return schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, text: bool = False, malformed: bool = False) -> DataFrame:
+    """A CSV with a header: by its schema (columns by position), all as text, or with types inferred from the whole of it.
+
+    With `malformed`, a column of that name holds the records that the schema cannot hold.
+    """
+    kind = _as_schema(schema) if schema is not None else None
+    if path.endswith(".gz"):
+        reader = _reader(spark).option("multiLine", True)
+        return spread(_parsed(reader, kind, text, malformed, lambda r: r.csv(path)))
+    ranges = materialize(range_quotes(spark, path), "ranges")
+    if not any(ranges.agg(F.max("odd"), F.max("breaks")).first()):
+        return _parsed(_reader(spark), kind, text, malformed, lambda r: r.csv(path))
+    names = _reader(spark).option("inferSchema", False).csv(path).columns
+    found = records(spark, path, ranges)
+    if kind is None:
+        kind = _inferred(spark, found, names) if not text else T.StructType([T.StructField(n, T.StringType()) for n in names])
+    held = kind if not malformed else T.StructType([*kind.fields, T.StructField(MALFORMED, T.StringType())])
+    options = {"escape": '"', "mode": "PERMISSIVE", **({"columnNameOfCorruptRecord": MALFORMED} if malformed else {})}
+    parsed = found.select(F.from_csv("value", _ddl(held), options).alias("row"))
+    return parsed.select("row.*")
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+
+
+def _parsed(reader, schema: T.StructType | None, text: bool, malformed: bool, load) -> DataFrame:
+    if schema is None:
+        reader = reader.option("inferSchema", not text)
+        return load(reader)
+    if not malformed:
+        return load(reader.schema(schema))
+    held = T.StructType([*schema.fields, T.StructField(MALFORMED, T.StringType())])
+    return load(reader.schema(held).option("columnNameOfCorruptRecord", MALFORMED))
+
+
+def _inferred(spark: SparkSession, found: DataFrame, names: list[str]) -> T.StructType:
+    """Types of all records, as the ordinary reader infers them."""
+    text = getattr(found.select("value")._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    reader = spark.read.option("escape", '"').option("inferSchema", True)
+    kinds = DataFrame(reader._jreader.csv(text), spark).schema
+    return T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, kinds.fields, strict=True)])
 
 
 def read_columns(
@@ -27,11 +84,8 @@ def read_columns(
     schema: str | None = None,
 ) -> DataFrame:
     """One module-qualified table, e.g. hosp/labevents, from <root>/<name>.csv.gz."""
-    reader = _reader(spark)
-    df = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(
-        f"{root}/{name}.csv.gz"
-    )
-    return spread(df.select(*columns) if columns else df)
+    df = read_csv(spark, f"{root}/{name}.csv.gz", schema)
+    return df.select(*columns) if columns else df
 
 
 def with_times(df: DataFrame) -> DataFrame:
@@ -49,17 +103,14 @@ def with_times(df: DataFrame) -> DataFrame:
     )
 
 
-def read_typed(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def read_typed(spark: SparkSession, path: str, schema: str | None = None, malformed: bool = False) -> DataFrame:
     """A CSV with its time columns parsed. Give a schema to avoid the inference pass."""
-    reader = _reader(spark)
-    reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
-    df = reader.csv(path)
-    return with_times(spread(df) if path.endswith(".gz") else df)
+    return with_times(read_csv(spark, path, schema, malformed=malformed))
 
 
 def read_text_columns(spark: SparkSession, path: str) -> DataFrame:
     """Every column as text, blanks for nulls."""
-    return _reader(spark).option("inferSchema", False).csv(path).fillna("")
+    return read_csv(spark, path, text=True).fillna("")
 
 
 def read_warehouse(spark: SparkSession, name: str, columns: Iterable[str]) -> DataFrame:
@@ -70,14 +121,28 @@ def read_warehouse(spark: SparkSession, name: str, columns: Iterable[str]) -> Da
 def load_tables(
     spark: SparkSession, paths: dict[str, str], target: str, schemas: dict | None = None
 ) -> DataFrame:
-    """Load each CSV into <target>/<name> as Parquet and compare row counts."""
-    from tracewell.operators.cohort import verify_counts
+    """Load each CSV into <target>/<name> as Parquet and compare.
 
-    source, stored = {}, {}
+    Rows, malformed records (where a schema is given) and a digest of the values are counted as the rows
+    are written; the stored rows are counted again. One row per table: table_name, source_rows,
+    target_rows, same (rows and digests agree), malformed and digest.
+    """
+    told = []
     for name, path in paths.items():
-        df = read_typed(spark, path, (schemas or {}).get(name))
+        schema = (schemas or {}).get(name)
+        df = read_typed(spark, path, schema, malformed=schema is not None)
+        columns = [c for c in df.columns if c != MALFORMED]
+        bad = F.count(MALFORMED) if MALFORMED in df.columns else F.lit(0).cast("bigint")
+        seen = Observation(f"load-{name}")
         folder = f"{target}/{name.replace('.', '/')}"
-        df.write.mode("overwrite").parquet(folder)
-        source[name] = df
-        stored[name] = spark.read.schema(df.schema).parquet(folder)
-    return verify_counts(source, stored)
+        df.observe(seen, F.count(F.lit(1)).alias("n"), bad.alias("bad"), digest(columns).alias("digest")).select(*columns).write.mode("overwrite").parquet(folder)
+        stored = spark.read.schema(df.select(*columns).schema).parquet(folder).agg(F.count(F.lit(1)).alias("n"), digest(columns).alias("digest")).first()
+        got = seen.get
+        told.append((name, got["n"], stored["n"], got["n"] == stored["n"] and got["digest"] == stored["digest"], got["bad"], stored["digest"]))
+    return spark.createDataFrame(told, "table_name string, source_rows bigint, target_rows bigint, same boolean, malformed bigint, digest decimal(38,0)")
+
+
+def digest(columns: list[str]):
+    """A sum that two tables share if their rows do, in any order."""
+    values = F.xxhash64(*[F.col(f"`{c}`") for c in columns]).cast("decimal(38,0)")
+    return F.coalesce(F.sum(values), F.lit(0).cast("decimal(38,0)"))
