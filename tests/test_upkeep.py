@@ -293,11 +293,11 @@ def test_a_moved_log_and_a_broken_log_are_errors(spark, tmp_path, first_drop):
     store = CaseStore(spark, str(tmp_path / "store"))
     nightly.ingest(store, first_drop)
     at = store.last()
-    store.compact("events")
+    store.upsert_cases(store.cases())
     with pytest.raises(StoreMoved):
         store.write("cases", store.cases(), full=True, after=at)
-    assert store.cases().count() == 3
-    (tmp_path / "store" / "commits" / f"{at:08d}" / "part-bad.parquet").write_text("no parquet")
+    assert store.cases().count() == 3 and store.last() == at + 1
+    (tmp_path / "store" / "commits" / f"{at:012d}.json").write_text("no commit")
     with pytest.raises(Exception):
         store.upsert_cases(store.cases())
 
