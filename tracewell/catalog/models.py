@@ -118,8 +118,8 @@ def weight_table(spark, folder):
 
 LISTED_SQL = f"""{HAND_SQL}, {EVIDENCE_PART},
 queue AS (SELECT c.*, s.score, row_number() OVER (ORDER BY round(s.score, 9) DESC,
-    coalesce(discharged_at, TIMESTAMP '9999-12-31'), c.source, c.case_id)::INTEGER AS rank
-  FROM a_cases c JOIN scores s USING (source, case_id)),
+    coalesce(discharged_at, TIMESTAMP '9999-12-31'), c.source, c.case_id) AS rank
+  FROM a_cases c JOIN scores s USING (source, case_id) WHERE scenario IS DISTINCT FROM 'view'),
 listed AS (SELECT * FROM queue WHERE rank <= 50)"""
 
 
@@ -140,26 +140,43 @@ def rounded_scores(wide):
         ORDER BY abs(contribution) DESC, feature) AS p FROM pushes WHERE contribution > 0) WHERE p <= 8 GROUP BY case_id),
     last_ones AS (SELECT case_id, string_agg(value, ',' ORDER BY ts, case_ordinal) AS timeline, max(n) AS event_count FROM (
       SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY ts DESC, case_ordinal DESC) AS p,
-        count(*) OVER (PARTITION BY case_id) AS n FROM a_events) WHERE p <= 12 GROUP BY case_id)
+        count(*) OVER (PARTITION BY case_id) AS n FROM a_events) WHERE p <= 12 GROUP BY case_id),
+    found AS (SELECT case_id, string_agg(sentence, ' | ' ORDER BY p) AS findings FROM (SELECT *, row_number() OVER (PARTITION BY case_id
+        ORDER BY label <> 'unanticipated', probability DESC, case_ordinal) AS p FROM (
+          SELECT case_id, case_ordinal, coalesce(value, '') || ' was noted.' AS sentence,
+            CASE WHEN case_ordinal % 2 = 0 THEN 'unanticipated' ELSE 'expected_risk' END AS label, (case_ordinal % 7) / 7.0 AS probability FROM a_events))
+      WHERE p <= 6 GROUP BY case_id)
     SELECT case_id, rank, round(score, 9) AS score, coalesce(first_text, (
         CASE top {" ".join(f"WHEN '{n}' THEN {quoted(m)}" for n, m in fixed.TRIGGER_MEANINGS.items())} END),
         'Flagged for a second look') AS reason,
       CASE WHEN discharged_at IS NOT NULL THEN greatest(0, floor((epoch_us(TIMESTAMP '2024-02-05 12:00:00')
-        - epoch_us(discharged_at)) / 86400e6))::INTEGER END AS waiting_days, event_count, raising, texts, timeline
-    FROM listed LEFT JOIN first_text USING (case_id) LEFT JOIN raising USING (case_id) LEFT JOIN last_ones USING (case_id)""",
+        - epoch_us(discharged_at)) / 86400e6))::INTEGER END AS waiting_days, event_count, raising, texts, timeline, findings
+    FROM listed LEFT JOIN found USING (case_id) LEFT JOIN first_text USING (case_id) LEFT JOIN raising USING (case_id) LEFT JOIN last_ones USING (case_id)""",
 )
 def review_queue_rows(spark, folder):
     wide = features(spark, folder)
     now = F.lit("2024-02-05 12:00:00").cast("timestamp")
     rows = review_queue(
         activity_cases(spark, folder), activity_events(spark, folder), rounded_scores(wide),
-        HAND.contributions(wide), 50, now, anchor="admission",
+        HAND.contributions(wide), 50, now, reviews(spark, folder), noted(spark, folder), anchor="admission",
     )
     return rows.select(
         "case_id", "rank", "score", "reason", "waiting_days", "event_count",
         F.array_join("raising.feature", ",").alias("raising"),
         F.array_join("triggers.text", " | ").alias("texts"),
         F.array_join("timeline.value", ",").alias("timeline"),
+        F.array_join("findings.sentence", " | ").alias("findings"),
+    )
+
+
+def noted(spark, folder):
+    """A finding for each event: a sentence with its framing and how sure that is."""
+    ordinal = F.col("case_ordinal")
+    return activity_events(spark, folder).select(
+        *KEY, "case_ordinal", F.lit(0).alias("position"),
+        F.concat(F.coalesce("value", F.lit("")), F.lit(" was noted.")).alias("sentence"),
+        F.when(ordinal % 2 == 0, "unanticipated").otherwise("expected_risk").alias("label"),
+        ((ordinal % 7) / 7.0).alias("probability"),
     )
 
 
@@ -192,7 +209,7 @@ def queue_without_reviewed(spark, folder):
 def discharged_unscored(spark, folder):
     scored = reviews(spark, folder)
     return plain(
-        Q.discharged_unscored(activity_cases(spark, folder), scored).select(
+        Q.oldest_first(Q.discharged_unscored(activity_cases(spark, folder), scored)).select(
             "case_id", "discharged_at"
         )
     )
@@ -563,7 +580,8 @@ def load_raw_tables(spark, folder):
 @query(
     "stream_drops",
     f"""WITH {HOSPITAL_SQL} SELECT count(*) AS total, count_if(discharged_at IS NULL)::BIGINT AS in_house,
-      count_if(discharged_at IS NOT NULL)::BIGINT AS discharged, (SELECT count(*) FROM h_events) AS events_stored
+      count_if(discharged_at IS NOT NULL)::BIGINT AS discharged, (SELECT count(*) FROM h_events) AS events_stored,
+      count_if(discharged_at IS NOT NULL)::BIGINT AS ranked, 0::BIGINT AS left_to_rank, true AS scores_explained
     FROM h_cases""",
 )
 def stream_drops(spark, folder):
@@ -576,12 +594,20 @@ def stream_drops(spark, folder):
             rows = mapped[role].withColumn("role", F.lit(role))
             rows.write.mode("append").parquet(inbox)
         watch_drops(
-            spark, inbox, store, f"{store.root}-checkpoint", file_format="parquet"
+            spark, inbox, store, f"{store.root}-checkpoint", HAND, file_format="parquet"
         ).awaitTermination()
     events = store.case_events()
+    # the contributions stored with each score add up to its logit
+    sums = store.read("contributions").groupBy("run_id", *KEY).agg(F.sum("contribution").alias("pushed"))
+    logit = F.log(F.col("score") / (1 - F.col("score")))
+    gaps = store.read("scores").join(sums, ["run_id", *KEY], "left").select(
+        (F.lit(INTERCEPT) + F.coalesce("pushed", F.lit(0.0)) - logit).alias("gap"))
     return cohort.stay_census(store.cases()).select(
         "total", "in_house", "discharged",
         events.agg(F.count(F.lit(1))).scalar().alias("events_stored"),
+        store.read("scores").agg(F.count(F.lit(1))).scalar().alias("ranked"),
+        pending(store).agg(F.count(F.lit(1))).scalar().alias("left_to_rank"),
+        (gaps.agg(F.coalesce(F.max(F.abs("gap")), F.lit(0.0))).scalar() < 1e-9).alias("scores_explained"),
     )
 
 
@@ -598,10 +624,11 @@ def key_set_difference(spark, folder):
 
 
 # --- fits: iterative, rows only ------------------------------------------------------------------------
-def trained(spark, folder, kind):
+def trained(spark, folder, kind, report=False):
+    """The report is whole, with cross-validation; queries of the model alone do without."""
     return S.train(
         features(spark, folder), activity_cases(spark, folder), kind,
-        meanings=fixed.TRIGGER_MEANINGS, cross_validate=False,
+        meanings=fixed.TRIGGER_MEANINGS, cross_validate=report,
     )
 
 
@@ -611,7 +638,45 @@ def report_frame(spark, report):
 
 @query("logistic_report")
 def logistic_report(spark, folder):
-    return report_frame(spark, trained(spark, folder, "logistic").report)
+    return report_frame(spark, trained(spark, folder, "logistic", report=True).report)
+
+
+@query("tree_report")
+def tree_report(spark, folder):
+    return report_frame(spark, trained(spark, folder, "tree", report=True).report)
+
+
+@query(
+    "logistic_optimum",
+    " UNION ALL ".join(f"SELECT '{n}' AS feature, true AS at_the_optimum" for n in ["", *WEIGHTS]),
+)
+def logistic_optimum(spark, folder):
+    """The gradient per row at the fitted weights, taken anew from all labelled cases one by one: the objective is
+    convex, so weights where it vanishes are the solution."""
+    known = features(spark, folder).join(
+        activity_cases(spark, folder).where(F.col("label").isNotNull()).select(*KEY, "label"), KEY)
+    model = S.ScoringModel.fit(known, names=list(WEIGHTS))
+    n = F.col("n")
+    sizes = known.agg(F.count(F.lit(1)).alias("n"), F.count_if("label").alias("p")).first()
+    weight = F.when(F.col("label"), sizes["n"] / (2 * sizes["p"])).otherwise(sizes["n"] / (2 * (sizes["n"] - sizes["p"])))
+    error = weight * (F.col("score") - F.col("label").cast("double"))
+    sums = model.score(known).agg(F.count(F.lit(1)).alias("n"), F.sum(error).alias("__"), *[F.sum(error * F.col(c)).alias(c) for c in WEIGHTS])
+    weights = {"__": 0.0, **model.weights}
+    rows = F.inline(F.array(*[
+        F.struct(F.lit(c.strip("_") if c == "__" else c).alias("feature"), (F.abs((F.col(c) + w) / n) < 1e-8).alias("at_the_optimum"))
+        for c, w in weights.items()
+    ]))
+    return sums.select(rows)
+
+
+@query(
+    "logistic_identity",
+    f"WITH {FEATURES_SQL} SELECT case_id, true AS adds_up FROM features",
+)
+def logistic_identity(spark, folder):
+    """Baseline and contributions of the fitted model add up to the logit of each score."""
+    rows = trained(spark, folder, "logistic").model.breakdown(features(spark, folder))
+    return rows.select("case_id", (F.abs("gap") < 1e-9).alias("adds_up"))
 
 
 @query("logistic_contributions")

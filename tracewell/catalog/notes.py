@@ -139,16 +139,19 @@ def contrast_misses(spark, folder):
 
 @query(
     "contrast_sentences",
-    """SELECT conv_id AS pair_id, 0 AS side, min_by(text, turn) AS text, 'unanticipated' AS truth
-      FROM conversations GROUP BY conv_id
-    UNION ALL SELECT conv_id, 1, max_by(text, turn), 'expected_risk' FROM conversations GROUP BY conv_id""",
+    """WITH p AS (SELECT conv_id, turn // 2 AS pair, max(CASE WHEN turn % 2 = 0 THEN text END) AS a,
+      max(CASE WHEN turn % 2 = 1 THEN text END) AS b FROM conversations GROUP BY ALL)
+    SELECT conv_id || ':' || pair AS pair_id, 0 AS side, a AS text, 'unanticipated' AS truth FROM p
+    UNION ALL SELECT conv_id || ':' || pair, 1, b, 'expected_risk' FROM p""",
 )
 def contrast_sentences(spark, folder):
-    ends = table(spark, folder, "conversations").groupBy(F.col("conv_id").alias("pair_id")).agg(
-        F.min_by("text", "turn").alias("unanticipated"),
-        F.max_by("text", "turn").alias("expected_risk"),
+    """Every turn: turns 2k and 2k + 1 of a conversation are a pair, an odd last one has a null side."""
+    side = lambda n: F.max(F.when(F.col("turn") % 2 == n, F.col("text")))
+    pairs = table(spark, folder, "conversations").groupBy("conv_id", F.floor(F.col("turn") / 2).alias("pair")).agg(
+        side(0).alias("unanticipated"), side(1).alias("expected_risk"),
     )
-    return sentences.contrast_sentences(ends)
+    named = pairs.withColumn("pair_id", F.concat_ws(":", "conv_id", "pair"))
+    return sentences.contrast_sentences(named)
 
 
 @query("framing_confusion",

@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import fixed_values as fixed
+from tracewell.operators.ordering import global_rank
 from tracewell.schema import KEY
 
 NEVER = "9999-12-31"
 
+# A longer list is ranked by ranges.
+TOP_ROWS = 10_000
+
 
 def queue_order() -> list[Column]:
     """Score first, then oldest discharge, open stays last; ties end in the key."""
@@ -36,21 +40,26 @@ def reviewed_cases(cases: DataFrame, reviews: DataFrame) -> DataFrame:
 
 
 def discharged_unscored(cases: DataFrame, scores: DataFrame) -> DataFrame:
-    """Discharged cases no run of any model has scored, oldest first."""
-    return (
-        rankable(cases)
-        .join(scores.select(*KEY), KEY, "left_anti")
-        .orderBy("discharged_at", *KEY)
-    )
+    """Discharged cases no run of any model has scored, in no order."""
+    return rankable(cases).join(scores.select(*KEY), KEY, "left_anti")
+
+
+def oldest_first(pending: DataFrame) -> DataFrame:
+    """For output: a global sort that no later step needs."""
+    return pending.orderBy("discharged_at", *KEY)
 
 
 def top_of_queue(scored: DataFrame, capacity: int) -> DataFrame:
     """The first `capacity` rows (at least one) with their rank.
 
-    Each task keeps its own best rows; only those are merged.
+    Each task keeps its own best rows; only those are merged, in one task up to TOP_ROWS
+    rows. A longer list is ranked by ranges.
     """
-    top = scored.orderBy(*queue_order()).limit(max(1, capacity))
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*queue_order())))
+    capacity = max(1, capacity)
+    if capacity > TOP_ROWS:
+        return global_rank(scored, queue_order(), "rank").where(F.col("rank") <= capacity)
+    top = scored.orderBy(*queue_order()).limit(capacity)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*queue_order())).cast("bigint"))
 
 
 def over_threshold(scored: DataFrame, threshold: float) -> DataFrame:

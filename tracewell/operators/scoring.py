@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
+from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import columns as C
 from tracewell.functions import fixed_values as fixed
 from tracewell.operators import metrics as M
+from tracewell.operators.newton import fit_logistic
 from tracewell.operators.resample import class_sizes, stratified_folds, stratified_split
 from tracewell.schema import KEY
 from tracewell.session import scratch_root
@@ -40,13 +41,13 @@ def feature_names(features: DataFrame) -> list[str]:
     return [c for c in features.columns if c not in (*KEY, "label", "is_test", "fold")]
 
 
-def _balanced(df: DataFrame) -> tuple[DataFrame, int]:
+def _balanced(df: DataFrame) -> tuple[float, float]:
+    """What a positive and a negative row weigh, so that both classes weigh the same."""
     positives, negatives = class_sizes(df)
     if not positives or not negatives:
         raise ValueError("the labelled sample holds one class only")
     n = positives + negatives
-    weight = F.when(F.col("label"), n / (2 * positives)).otherwise(n / (2 * negatives))
-    return df.withColumn("_weight", weight).withColumn("_target", F.col("label").cast("double")), n
+    return n / (2 * positives), n / (2 * negatives)
 
 
 # --- logistic -------------------------------------------------------------------
@@ -106,6 +107,7 @@ class ScoringModel:
     meanings: dict[str, str] = field(default_factory=dict)
     weights: dict[str, float] = field(default_factory=dict)
     intercept: float = 0.0
+    gradient: dict[str, float] = field(default_factory=dict)
     tree: object = None
     nodes: list[tuple] = field(default_factory=list)
 
@@ -119,20 +121,18 @@ class ScoringModel:
         if model_type not in MODEL_TYPES:
             raise ValueError(f"model_type must be one of {MODEL_TYPES}, got {model_type!r}")
         names = names or feature_names(labelled)
-        train, n = _balanced(labelled.where(F.col("label").isNotNull()))
-        vectors = VectorAssembler(inputCols=names, outputCol="_features").transform(
-            train.select(*names, "_weight", "_target")
-        )
-        columns = dict(featuresCol="_features", labelCol="_target", weightCol="_weight")
+        known = labelled.where(F.col("label").isNotNull())
+        weights = _balanced(known)
         model = cls(model_type, names, threshold, meanings or {})
         if model_type == "logistic":
-            fitted = LogisticRegression(
-                regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=2000,
-                tol=1e-10, **columns,
-            ).fit(vectors)
-            model.weights = dict(zip(names, map(float, fitted.coefficients)))
-            model.intercept = float(fitted.intercept)
+            fitted = fit_logistic(known.select(*names, "label"), names, *weights)
+            model.weights, model.intercept, model.gradient = fitted.weights, fitted.intercept, fitted.gradient
         else:
+            weight = F.when(F.col("label"), weights[0]).otherwise(weights[1])
+            vectors = VectorAssembler(inputCols=names, outputCol="_features").transform(
+                known.select(*names, weight.alias("_weight"), F.col("label").cast("double").alias("_target"))
+            )
+            columns = dict(featuresCol="_features", labelCol="_target", weightCol="_weight")
             model.tree = DecisionTreeClassifier(
                 maxDepth=TREE_DEPTH, minInstancesPerNode=TREE_LEAF, seed=seed, leafCol="_leaf",
                 **columns,

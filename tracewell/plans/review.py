@@ -11,6 +11,8 @@ from tracewell.operators.timeline import last_events, trigger_evidence, with_wai
 from tracewell.schema import KEY
 from tracewell.session import materialize
 
+# More listed cases than this are joined as the optimizer decides.
+BROADCAST_KEYS = 10_000
 RAISING, LOWERING, EVIDENCE, FINDINGS, TIMELINE = 8, 8, 10, 6, 12
 
 
@@ -28,15 +30,17 @@ def review_queue(
 ) -> DataFrame:
     """Highest scores first, reviewed cases left out, with all a reviewer reads.
 
-    Details are computed for the listed cases only: their keys are broadcast
-    (at most `capacity` rows) and every detail table is semi-joined to them
-    first. Within a case each detail is limited before it is gathered.
+    Details are computed for the listed cases only: every detail table is semi-joined to their
+    keys first, which are broadcast up to BROADCAST_KEYS of them. Within a case
+    each detail is limited before it is gathered.
     """
     scored = cases.join(scores.select(*KEY, "score"), KEY)
     if reviews is not None:
         scored = Q.without_reviewed(scored, reviews)
     listed = materialize(Q.top_of_queue(scored, capacity), "listed")
-    keys = F.broadcast(listed.select(*KEY))
+    keys = listed.select(*KEY)
+    if capacity <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
     of_listed = lambda df: df.join(keys, KEY, "left_semi")
 
     # Each large table is scanned once, however many details are drawn from it.

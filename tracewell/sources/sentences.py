@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.sources.csv_tables import read_csv
+
 TEXT_AND_LABEL = "text string, label string"
 
 
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:
     """A CSV of (text, label)."""
-    return spark.read.schema(TEXT_AND_LABEL).option("header", True).option(
-        "escape", '"'
-    ).csv(path)
+    return read_csv(spark, path, TEXT_AND_LABEL)
 
 
 def contrast_sentences(pairs: DataFrame) -> DataFrame:
