@@ -32,6 +32,7 @@ from tracewell.sources.csv_tables import digest, load_tables
 from tracewell.sources.raw_extracts import HOSPITAL_SQL, hospital_tables
 from tracewell.sources.store import CaseStore
 from tracewell.streaming.drops import watch_drops
+from tracewell.streaming.waiting import SCORE, STAY, watch_waiting
 
 # Hand-set weights, so scores have an exact counterpart in SQL.
 WEIGHTS = {
@@ -611,6 +612,36 @@ def stream_drops(spark, folder):
     )
 
 
+@query(
+    "stream_waiting",
+    f"""WITH {HOSPITAL_SQL}, d AS (SELECT case_id, CAST(regexp_extract(case_id, '[0-9]+$') AS BIGINT) AS k,
+      date_trunc('milliseconds', discharged_at) AS out FROM h_cases WHERE discharged_at IS NOT NULL)
+    SELECT case_id, {sql_iso("out")} AS discharged_at, {sql_iso("out + INTERVAL 7 DAY")} AS stale_at,
+      k % 5 = 0 AND out <= TIMESTAMP '1997-01-01' - INTERVAL 7 DAY AS late
+    FROM d WHERE out + INTERVAL 7 DAY <= TIMESTAMP '1999-01-01'
+      AND NOT (k % 3 = 0 AND TIMESTAMP '1997-01-01' < out + INTERVAL 7 DAY)""",
+)
+def stream_waiting(spark, folder):
+    """Two runs: early discharges and some scores, then every stay again with those that were withheld.
+
+    A fifth of the stays comes late, a third is scored in the first run, and timers flag what no later file names."""
+    store = fresh_store(spark)
+    cases, _ = hospital(spark, folder)
+    first, second = (F.lit(t).cast("timestamp") for t in ("1997-01-01", "1999-01-01"))
+    k = F.regexp_extract("case_id", "[0-9]+$", 0).cast("bigint")
+    news = lambda df, kind, at: df.select(*KEY, F.lit(kind).alias("kind"), at.alias("at"), F.when(F.lit(kind == STAY), F.col("discharged_at")).alias("discharged_at"))
+    early = cases.where((k % 5 != 0) & (F.col("discharged_at") <= first))
+    runs = [
+        news(early, STAY, first).unionByName(news(cases.where(k % 3 == 0), SCORE, first)),
+        news(cases, STAY, second),
+    ]
+    flags = f"{store.root}-flags"
+    for rows in runs:
+        rows.write.mode("append").parquet(f"{store.root}-news")
+        watch_waiting(spark, f"{store.root}-news", flags, f"{store.root}-waiting").awaitTermination()
+    return plain(spark.read.parquet(flags).select("case_id", "discharged_at", "stale_at", "late"))
+
+
 @query(
     "key_set_difference",
     """SELECT o_orderkey AS k, 'left' AS only_in FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
