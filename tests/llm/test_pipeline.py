@@ -5,8 +5,8 @@ from collections import Counter
 import corpus_pipeline
 from tests.llm.test_decontaminate import brute as leaks
 from tests.llm.test_mixing import brute as mixed
+from tests.llm.test_near_copies import near_groups
 from tests.llm.test_pii import base_spans
-from tests.llm.test_simhash import slow_groups, slow_print
 from tracewell.llm import toxicity as T
 from tracewell.llm.pii import find_spans, redact
 from tracewell.llm.queries import mix_tree
@@ -40,11 +40,10 @@ def test_every_stage(spark, tmp_path):
             assert Counter(r[0] for r in got) == Counter(r[0] for r in before) - bad
             assert set(got) <= set(before) and sum(bad.values())
         elif name == "near_copies":
-            root = slow_groups(slow_print(r[1]) for r in before)
-            group = lambda r: root[slow_print(r[1])]
+            groups = near_groups([r[1] for r in before])
             first = {}
-            for r in sorted(before, key=lambda r: (r[0] is None, r[0] or 0)):
-                first.setdefault(group(r), r[0])
+            for r, g in sorted(zip(before, groups, strict=True), key=lambda x: (x[0][0] is None, x[0][0] or 0)):
+                first.setdefault(g, r[0])
             assert Counter(r[0] for r in got) == Counter(first.values())
             assert set(got) <= set(before) and len(got) < len(before)
         elif name == "decontamination":

@@ -88,10 +88,7 @@ def test_defined_cases(spark):
     prints = {t: slow_print(t) for _, t in rows}
     want = [(i, prints[t], {None: 3, "": 3, " \n": 3, "One": 4, "one": 4, "a b": 8, long: 2, "only here now": None}[t]) for i, t in rows]
     assert got == sorted(want, key=repr)
-    left = S.drop_near_copies(df)
-    assert left.columns == df.columns
-    assert sorted(r.doc_id if r.doc_id is not None else -1 for r in left.collect()) == [-1, 2, 3, 4, 8]
-    assert S.simhash_groups(df.limit(0)).count() == 0 and S.drop_near_copies(df.limit(0)).count() == 0
+    assert S.simhash_groups(df.limit(0)).count() == 0
 
 
 def test_whole_table(spark):

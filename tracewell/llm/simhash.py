@@ -24,11 +24,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm import words as W
-from tracewell.llm.common import checkpointed, key_of, shuffle_partitions
+from tracewell.llm.common import checkpointed, shuffle_partitions
 from tracewell.llm.components import components
 
 SHINGLE = 3
@@ -225,14 +225,3 @@ def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     heads = rooted.groupBy("root").agg(F.min("lowest").alias("component_id"))
     named = rooted.join(heads, "root").select("print", "component_id")
     return marks.join(named, "print").select("doc_id", "print", "component_id")
-
-
-def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Of each group the row with the smallest id; of rows that repeat it, one."""
-    groups = simhash_groups(docs, id_column, text_column)
-    heads = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key_of("doc_id").alias("_head")).distinct()
-    order = Window.partitionBy("_head").orderBy(F.xxhash64(text_column))
-    return (
-        docs.withColumn("_head", key_of(id_column)).join(heads, "_head", "left_semi")
-        .withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*docs.columns)
-    )
