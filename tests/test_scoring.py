@@ -52,7 +52,7 @@ def test_contributions_add_up_to_the_logit(cohort, features):
 
 def test_tree_contributions_are_the_change_from_the_root(cohort, features):
     model = S.ScoringModel.fit(cohort, "tree")
-    root = model.nodes[0][1]
+    root = model.nodes[1].risk
     rows = model.breakdown(features).collect()
     assert len(rows) == 400
     assert all(abs(root + r["sum_of_path_changes"] - r["probability"]) < 1e-6 for r in rows)

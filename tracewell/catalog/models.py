@@ -725,6 +725,62 @@ def tree_scores(spark, folder):
     return trained(spark, folder, "tree").model.score(features(spark, folder)).select("case_id", "score")
 
 
+def _tree_sql(rows: str) -> str:
+    """The tree of all labelled cases, level by level: every value of every feature as a split."""
+    names = list(WEIGHTS)
+    long = " UNION ALL ".join(f"SELECT node, {i} AS feature, {n}::DOUBLE AS value, label FROM v{{d}}" for i, n in enumerate(names))
+    pure = lambda p, n: f"(({p}) * ({p}) + ({n}) * ({n})) / (({p}) + ({n}))"
+    levels = [f"""v0 AS MATERIALIZED (SELECT f.*, label, 1 AS node FROM features f JOIN a_cases USING (source, case_id) WHERE label IS NOT NULL),
+    w AS (SELECT count(*)::DOUBLE / (2 * count_if(label)) AS up, count(*)::DOUBLE / (2 * count_if(NOT label)) AS down FROM v0)"""]
+    for d in range(S.TREE_DEPTH):
+        value = " ".join(f"WHEN {i} THEN {n}::DOUBLE" for i, n in enumerate(names))
+        levels.append(f"""g{d} AS (SELECT node, feature, value, count_if(label)::DOUBLE AS p, count_if(NOT label)::DOUBLE AS n
+          FROM ({long.replace("{d}", str(d))}) WHERE node >= {2**d} GROUP BY ALL),
+        s{d} AS (SELECT *, sum(p) OVER u AS pl, sum(n) OVER u AS nl, lead(value) OVER (PARTITION BY node, feature ORDER BY value) AS nxt,
+          sum(p) OVER (PARTITION BY node, feature) AS pa, sum(n) OVER (PARTITION BY node, feature) AS na FROM g{d}
+          WINDOW u AS (PARTITION BY node, feature ORDER BY value)),
+        c{d} AS (SELECT *, {pure("pl * up", "nl * down")} + {pure("(pa - pl) * up", "(na - nl) * down")} AS score, {pure("pa * up", "na * down")} AS whole
+          FROM s{d}, w WHERE pl + nl >= {S.TREE_LEAF} AND (pa + na) - (pl + nl) >= {S.TREE_LEAF}),
+        t{d} AS MATERIALIZED (SELECT node, feature, (value + nxt) / 2 AS threshold, score - whole AS gain FROM c{d} WHERE score - whole > 1e-9
+          QUALIFY row_number() OVER (PARTITION BY node ORDER BY score DESC, feature, value) = 1),
+        v{d + 1} AS MATERIALIZED (SELECT v.* REPLACE (CASE WHEN t.node IS NULL THEN v.node
+            WHEN CASE feature {value} END <= threshold THEN 2 * v.node ELSE 2 * v.node + 1 END AS node) FROM v{d} v LEFT JOIN t{d} t ON v.node = t.node)""")
+    last = S.TREE_DEPTH
+    levels.append(f"leaves AS (SELECT node, count_if(label) * any_value(up) / (count_if(label) * any_value(up) + count_if(NOT label) * any_value(down)) AS risk FROM v{last}, w GROUP BY node)")
+    levels.append("splits AS (" + " UNION ALL ".join(f"SELECT * FROM t{d}" for d in range(last)) + ")")
+    levels.append(f"""root AS (SELECT count_if(label) * any_value(up) / (count_if(label) * any_value(up) + count_if(NOT label) * any_value(down)) AS risk FROM v{last}, w)""")
+    return f"WITH {FEATURES_SQL}, {', '.join(levels)} {rows}"
+
+
+def whole_tree(spark, folder):
+    known = features(spark, folder).join(
+        activity_cases(spark, folder).where(F.col("label").isNotNull()).select(*KEY, "label"), KEY)
+    return known, S.ScoringModel.fit(known, "tree", names=list(WEIGHTS))
+
+
+@query("tree_leaf_risks", _tree_sql(f"SELECT case_id, node, round(risk, 9) AS score FROM v{S.TREE_DEPTH} JOIN leaves USING (node)"))
+def tree_leaf_risks(spark, folder):
+    known, model = whole_tree(spark, folder)
+    return model._scored(known).select("case_id", F.col("_leaf").alias("node"), F.round("score", 9).alias("score"))
+
+
+@query("tree_path_sums", _tree_sql(
+    f"SELECT case_id, round(leaves.risk - root.risk, 9) AS sum_of_path_changes FROM v{S.TREE_DEPTH} JOIN leaves USING (node), root"))
+def tree_path_sums(spark, folder):
+    """Contributions along each case's path add up to its risk less that of the root."""
+    known, model = whole_tree(spark, folder)
+    rows = model.breakdown(known)
+    return rows.select("case_id", (F.round("sum_of_path_changes", 9) + 0.0).alias("sum_of_path_changes"))
+
+
+@query("tree_importances", _tree_sql(
+    "SELECT name AS feature, round(coalesce(sum(gain), 0) / (SELECT sum(gain) FROM splits), 9) AS importance FROM (VALUES "
+    + ", ".join(f"({i}, '{n}')" for i, n in enumerate(WEIGHTS)) + ") AS f(i, name) LEFT JOIN splits ON feature = i GROUP BY name"))
+def tree_importances(spark, folder):
+    _, model = whole_tree(spark, folder)
+    return spark.createDataFrame(list(model.weights.items()), "feature string, importance double").withColumn("importance", F.round("importance", 9))
+
+
 @query("tree_contributions")
 def tree_contributions(spark, folder):
     return trained(spark, folder, "tree").model.contributions(features(spark, folder)).drop("source")

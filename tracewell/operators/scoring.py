@@ -2,24 +2,19 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import columns as C
 from tracewell.functions import fixed_values as fixed
 from tracewell.operators import metrics as M
+from tracewell.operators.exact_tree import Node, fit_tree, importances, leaf_paths, node_of
 from tracewell.operators.newton import fit_logistic
 from tracewell.operators.resample import class_sizes, stratified_folds, stratified_split
 from tracewell.schema import KEY
-from tracewell.session import scratch_root
 
 MODEL_TYPES = ("logistic", "tree")
 TREE_DEPTH = 5
@@ -108,8 +103,7 @@ class ScoringModel:
     weights: dict[str, float] = field(default_factory=dict)
     intercept: float = 0.0
     gradient: dict[str, float] = field(default_factory=dict)
-    tree: object = None
-    nodes: list[tuple] = field(default_factory=list)
+    nodes: dict[int, Node] = field(default_factory=dict)
 
     @classmethod
     def fit(
@@ -128,26 +122,16 @@ class ScoringModel:
             fitted = fit_logistic(known.select(*names, "label"), names, *weights)
             model.weights, model.intercept, model.gradient = fitted.weights, fitted.intercept, fitted.gradient
         else:
-            weight = F.when(F.col("label"), weights[0]).otherwise(weights[1])
-            vectors = VectorAssembler(inputCols=names, outputCol="_features").transform(
-                known.select(*names, weight.alias("_weight"), F.col("label").cast("double").alias("_target"))
-            )
-            columns = dict(featuresCol="_features", labelCol="_target", weightCol="_weight")
-            model.tree = DecisionTreeClassifier(
-                maxDepth=TREE_DEPTH, minInstancesPerNode=TREE_LEAF, seed=seed, leafCol="_leaf",
-                **columns,
-            ).fit(vectors)
-            model.weights = dict(zip(names, map(float, model.tree.featureImportances.toArray())))
-            model.nodes = _tree_nodes(model.tree, vectors.sparkSession)
+            model.nodes = fit_tree(known.select(*names, "label"), names, *weights, TREE_DEPTH, TREE_LEAF)
+            model.weights = importances(model.nodes, names)
         return model
 
     def _scored(self, features: DataFrame) -> DataFrame:
         if self.model_type == "logistic":
             return features.withColumn("score", linear_score(self.weights, self.intercept))
-        vectors = VectorAssembler(inputCols=self.names, outputCol="_features").transform(features)
-        return self.tree.transform(vectors).withColumn(
-            "score", vector_to_array("probability")[1]
-        ).drop("_features", "rawPrediction", "probability", "prediction")
+        leaf = node_of(self.nodes, lambda i: F.col(f"`{self.names[i]}`"))
+        risks = {n.id: n.risk for n in self.nodes.values() if n.feature is None}
+        return features.withColumn("_leaf", leaf).withColumn("score", C.lookup(F.col("_leaf"), risks))
 
     def score(self, features: DataFrame) -> DataFrame:
         return self._scored(features).drop("_leaf")
@@ -160,7 +144,7 @@ class ScoringModel:
         # One row per leaf and feature on its path; at most 2 ** depth leaves.
         paths = F.broadcast(
             spark.createDataFrame(
-                leaf_paths(self.nodes, self.names), "_leaf double, feature string, delta double"
+                leaf_paths(self.nodes, self.names), "_leaf int, feature string, delta double"
             )
         )
         value = F.element_at(
@@ -202,44 +186,6 @@ class ScoringModel:
         ).orderBy(F.desc(F.abs(label)), "feature")
 
 
-def _tree_nodes(tree, spark) -> list[tuple]:
-    """(id, risk, left, right, feature index), from the saved model's node table."""
-    path = os.path.join(
-        scratch_root(spark), spark.sparkContext.applicationId, f"tree-{uuid.uuid4().hex}"
-    )
-    tree.write().save(path)
-    nodes = spark.read.parquet(os.path.join(path, "data"))
-    # At most 2 ** (depth + 1) rows.
-    rows = nodes.select(
-        "id", "impurityStats", "leftChild", "rightChild", "split.featureIndex"
-    ).orderBy("id").collect()
-    risk = lambda stats: float(stats[1] / sum(stats)) if sum(stats) else 0.0
-    return [(r[0], risk(r[1]), r[2], r[3], r[4]) for r in rows]
-
-
-def leaf_paths(nodes: list[tuple], names: list[str]) -> list[tuple[float, str, float]]:
-    """Per leaf, the change in risk along its path summed by split feature."""
-    by_id = {n[0]: n for n in nodes}
-    leaves = sorted(n[0] for n in nodes if n[2] < 0)
-    rows = []
-    pending = [(nodes[0][0], {})] if nodes else []
-    while pending:
-        at, changes = pending.pop()
-        _, risk, left, right, feature = by_id[at]
-        if left < 0:
-            rows += [
-                (float(leaves.index(at)), name, delta)
-                for name, delta in sorted(changes.items())
-                if abs(delta) >= 1e-9
-            ]
-            continue
-        name = names[feature]
-        for child in (left, right):
-            step = by_id[child][1] - risk
-            pending.append((child, {**changes, name: changes.get(name, 0.0) + step}))
-    return rows
-
-
 @dataclass
 class Trained:
     model: ScoringModel
