@@ -105,3 +105,14 @@ def test_whole_table(spark):
     want = {i: (n, m, hashlib.sha256(k.encode()).hexdigest()) for i, (n, m, k) in brute(rows, 20).items()}
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in QUERIES["op1_substring_dedup"](spark, folder).collect()}
     assert got == want
+
+
+def test_rows_without_an_id_and_the_largest_id(spark):
+    """Each null id row is a document of its own; the largest bigint is an id like any other."""
+    line = " ".join(f"w{i}" for i in range(25))
+    own = lambda k: " ".join(f"own{k}x{i}" for i in range(30))
+    rows = [(2**63 - 1, own("max")), (5, line), *((None, f"{own(k)} {line}") for k in range(40)), (2**63 - 1, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup(df).collect()), key=repr)
+    want = [(2**63 - 1, 30, 0), (5, 25, 0), *[(None, 55, 25)] * 40, (2**63 - 1, 0, 0)]
+    assert got == sorted(want, key=repr)

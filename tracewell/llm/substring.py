@@ -1,7 +1,7 @@
 """Substring dedup: remove passages that occur earlier in the corpus.
 
-Suffix automata of reference shards decide which runs of words occurred before.
-The repeated text of a corpus grows with the corpus, so the automata are not
+Suffix automata of shards of the corpus's own passages decide which runs of words occurred before;
+equal passages are known by their words and need none. The repeated text of a corpus grows with the corpus, so the automata are not
 broadcast: each shard is the text around one seed, lives in one task, and the
 documents' passages are streamed through it in corpus order.
 
@@ -17,7 +17,7 @@ documents' passages are streamed through it in corpus order.
 5. Each document drops the words that repeated windows cover.
 
 Results are judged on the input, not on what is left of it. Defined cases: null and
-empty texts have no words and stay; a null id comes after all others; of rows with one
+empty texts have no words and stay; a null id comes after all others (beside the largest bigint); of rows with one
 id, the text with the smaller hash counts as earlier, and rows equal in id and words get the
 same result; columns other than the id and the text are not looked at.
 """
@@ -98,12 +98,13 @@ def _count_seeds(window: int, seed: int):
 def _list_seeds(window: int, seed: int):
     def run(batches):
         for batch in batches:
-            keys = batch.column("key").to_numpy()
+            keys, tids = batch.column("key").to_numpy(), batch.column("tid").to_numpy()
             texts = W.plain_strings(batch.column("text"))
             for at, n in W.pieces(texts):
                 p = Passages(texts.slice(at, n), window, seed)
                 pair = np.unique(np.rec.fromarrays([p.row, p.seed]))
-                yield pa.record_batch([pair["f1"].view(np.int64), keys[at + pair["f0"]]], ["seed", "key"])
+                row = at + pair["f0"]
+                yield pa.record_batch([pair["f1"].view(np.int64), keys[row], tids[row]], ["seed", "key", "tid"])
 
     return run
 
@@ -272,29 +273,32 @@ def _keep(batches):
 def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words of every row of docs."""
     parts = shuffle_partitions(docs)
-    base = docs.select(key_of(id_column).alias("key"), F.col(text_column).alias("text"))
+    # A row is known by its id and text, so that the rows without an id are not one key. The hash tells
+    # a null id from the largest one.
+    said = F.xxhash64(text_column)
+    tid = F.when(F.col(id_column).isNull(), F.xxhash64(text_column, F.lit(1))).otherwise(said)
+    base = docs.select(key_of(id_column).alias("key"), tid.alias("tid"), F.col(text_column).alias("text"))
     # Read by two joins below, with the same columns, so that both reuse this exchange.
-    dealt = base.repartition(parts, "key")
+    dealt = base.repartition(parts, "key", "tid")
     repeated = (
         base.select("text").mapInArrow(_count_seeds(window, seed), "seed bigint, n bigint")
         .groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1")
         .select("seed", (F.col("n") >= CROWDED).alias("crowded"))
     )
     listed = (
-        base.select("key", "text").mapInArrow(_list_seeds(window, seed), "seed bigint, key bigint")
+        base.mapInArrow(_list_seeds(window, seed), "seed bigint, key bigint, tid bigint")
         .join(repeated, "seed")
-        .groupBy("key").agg(F.collect_list(F.struct("seed", "crowded")).alias("seeds"))
+        .groupBy("key", "tid").agg(F.collect_set(F.struct("seed", "crowded")).alias("seeds"))
     )
-    tid = F.xxhash64("text").alias("tid")
     spans = (
-        dealt.join(listed, "key").select("key", tid, "text", "seeds")
+        dealt.join(listed, ["key", "tid"]).select("key", "tid", "text", "seeds")
         .mapInArrow(_send_passages(window, seed), PASSAGE)
         .repartition(parts, "shard").sortWithinPartitions("shard", "key", "tid", "start")
         .mapInArrow(_judge(window), "key bigint, tid bigint, a int, b int")
-        .groupBy("key").agg(F.collect_list(F.struct("tid", "a", "b")).alias("spans"))
+        .groupBy("key", "tid").agg(F.collect_set(F.struct("tid", "a", "b")).alias("spans"))
     )
     return (
-        dealt.join(spans, "key", "left")
-        .select(F.nullif("key", F.lit(LAST_ID)).alias("doc_id"), tid, "text", "spans")
+        dealt.join(spans, ["key", "tid"], "left")
+        .select(F.when((F.col("key") != LAST_ID) | (F.col("tid") == F.xxhash64("text")), F.col("key")).alias("doc_id"), "tid", "text", "spans")
         .mapInArrow(_keep, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
     )
