@@ -5,18 +5,19 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from tracewell.session import build_session  # noqa: E402
+from tracewell.session import build_session, release  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "local[4]", "tests",
         **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
-           "spark.driver.memory": "4g"},
+           "spark.driver.memory": "4g", "spark.checkpoint.dir": str(tmp_path_factory.mktemp("scratch"))},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()
 
 

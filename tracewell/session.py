@@ -76,6 +76,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete what this application wrote to the scratch folder. Nothing lazy may depend on it any more."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(os.path.join(scratch_root(spark), context.applicationId))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
