@@ -26,6 +26,7 @@ from tracewell.plans.nightly import ingest, ingest_and_rank, pending
 from tracewell.plans.review import review_queue
 from tracewell.schema import KEY
 from tracewell.session import scratch_root, table
+from tracewell.sources import csv_tables as R
 from tracewell.sources import hospital as H
 from tracewell.sources.activity import ACTIVITY_SQL, activity_cases, activity_events
 from tracewell.sources.csv_tables import digest, load_tables
@@ -578,6 +579,58 @@ def load_raw_tables(spark, folder):
     )
 
 
+def _as_csv(df, name: str, compressed: bool) -> str:
+    """df in CSV files below a new folder; the folder's root."""
+    root = fresh_store(df.sparkSession).root
+    writer = df.write.option("header", True).option("escape", '"')
+    (writer.option("compression", "gzip") if compressed else writer).csv(f"{root}/{name}.csv" + (".gz" if compressed else ""))
+    return root
+
+
+@query("csv_gz_columns", "SELECT p_partkey, p_name, p_size::BIGINT AS p_size FROM part")
+def csv_gz_columns(spark, folder):
+    """A table of a compressed extract, by its module and name, with some of its columns."""
+    root = _as_csv(table(spark, folder, "part"), "hosp/part", compressed=True)
+    rows = R.read_columns(spark, root, "hosp/part", ["p_partkey", "p_name", "p_size"])
+    return rows.select(F.col("p_partkey").cast("bigint").alias("p_partkey"), "p_name", F.col("p_size").cast("bigint").alias("p_size"))
+
+
+@query(
+    "csv_text_columns",
+    "SELECT conv_id::VARCHAR AS conv_id, turn::VARCHAR AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations",
+)
+def csv_text_columns(spark, folder):
+    """Everything as text, from texts with line breaks and quotes in split files."""
+    root = _as_csv(table(spark, folder, "conversations").select("conv_id", "turn", "role", "text"), "turns", compressed=False)
+    return R.read_text_columns(spark, f"{root}/turns.csv")
+
+
+@query("warehouse_columns", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+def warehouse_columns(spark, folder):
+    name = f"orders_{uuid.uuid4().hex}"
+    table(spark, folder, "orders").createOrReplaceTempView(name)
+    return R.read_warehouse(spark, name, ["o_orderkey", "o_custkey", "o_orderstatus"])
+
+
+@query(
+    "extractor_plugin",
+    f"""WITH {FEATURES_SQL}, kinds AS (SELECT source, case_id, count(DISTINCT event_type)::DOUBLE AS n_kinds,
+      count_if(value IS NULL)::DOUBLE AS n_unnamed FROM a_events GROUP BY ALL)
+    SELECT case_id, {", ".join(WEIGHTS)}, coalesce(n_kinds, 0) AS n_kinds, coalesce(n_unnamed, 0) AS n_unnamed
+    FROM features LEFT JOIN kinds USING (source, case_id)""",
+)
+def extractor_plugin(spark, folder):
+    """The features of the built-in extractor beside those of one that is handed in."""
+    def kinds(cases, events):
+        return events.groupBy(*KEY).agg(
+            F.count_distinct("event_type").cast("double").alias("n_kinds"),
+            F.count_if(F.col("value").isNull()).cast("double").alias("n_unnamed"))
+
+    watch = lambda cases, events: T.trigger_features(events, cases)
+    cases, events = activity_cases(spark, folder), activity_events(spark, folder)
+    return S.feature_matrix(cases, *[extract(cases, events) for extract in (watch, kinds)]).drop("source")
+
+
 @query(
     "stream_drops",
     f"""WITH {HOSPITAL_SQL} SELECT count(*) AS total, count_if(discharged_at IS NULL)::BIGINT AS in_house,

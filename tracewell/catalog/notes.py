@@ -271,6 +271,30 @@ def framing_model(spark, folder):
     return NM.FramingModel.fit(labelled_turns(spark, folder))
 
 
+@query("framing_model_optimum", f"SELECT unnest({sql_list(fixed.FRAMING_CLASSES)}) AS class, true AS flat_intercept, true AS flat_terms")
+def framing_model_optimum(spark, folder):
+    """The gradient vanishes at the fitted weights: the objective is convex, so they are its solution."""
+    turns = labelled_turns(spark, folder)
+    found = NM.FramingModel.fit(turns).gradient(turns, ["text_id"])
+    return found.select("class", (F.abs("intercept") < 1e-5).alias("flat_intercept"), (F.col("steepest") < 1e-5).alias("flat_terms"))
+
+
+@query(
+    "framing_model_rules",
+    f"WITH {SENTENCES_SQL} SELECT case_id, count(*) AS n_sentences, true AS known, true AS floored, true AS possible FROM sentences GROUP BY case_id",
+)
+def framing_model_rules(spark, folder):
+    """Of every sentence: one of the classes, neutral below the floor, and a probability that a largest of three can have."""
+    model = framing_model(spark, folder)
+    labelled = model.label_sentences(N.note_sentences(document_events(spark, folder)))
+    p, k = F.col("probability"), len(model.classes)
+    return labelled.groupBy("case_id").agg(
+        F.count(F.lit(1)).alias("n_sentences"), F.every(F.col("label").isin(fixed.FRAMING_CLASSES)).alias("known"),
+        F.every((p >= model.min_confidence) | (F.col("label") == "neutral")).alias("floored"),
+        F.every((p <= 1) & (p >= 1 / k - 1e-12)).alias("possible"),
+    )
+
+
 @query("framing_model_sentences")
 def framing_model_sentences(spark, folder):
     model = framing_model(spark, folder)
