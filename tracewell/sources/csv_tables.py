@@ -8,6 +8,7 @@ are null, and the record is kept in `_malformed` for those who count or look at
 from __future__ import annotations
 
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from tracewell.session import materialize, spread
 from tracewell.sources.csv_records import range_quotes, records
 
 MALFORMED = "_malformed"
+AT_A_TIME = 4
 
 
 def is_time_column(name: str) -> bool:
@@ -127,8 +129,8 @@ def load_tables(
     are written; the stored rows are counted again. One row per table: table_name, source_rows,
     target_rows, same (rows and digests agree), malformed and digest.
     """
-    told = []
-    for name, path in paths.items():
+    def load(item: tuple[str, str]) -> tuple:
+        name, path = item
         schema = (schemas or {}).get(name)
         df = read_typed(spark, path, schema, malformed=schema is not None)
         columns = [c for c in df.columns if c != MALFORMED]
@@ -138,7 +140,12 @@ def load_tables(
         df.observe(seen, F.count(F.lit(1)).alias("n"), bad.alias("bad"), digest(columns).alias("digest")).select(*columns).write.mode("overwrite").parquet(folder)
         stored = spark.read.schema(df.select(*columns).schema).parquet(folder).agg(F.count(F.lit(1)).alias("n"), digest(columns).alias("digest")).first()
         got = seen.get
-        told.append((name, got["n"], stored["n"], got["n"] == stored["n"] and got["digest"] == stored["digest"], got["bad"], stored["digest"]))
+        same = got["n"] == stored["n"] and got["digest"] == stored["digest"]
+        return name, got["n"], stored["n"], same, got["bad"], stored["digest"]
+
+    # Small tables leave cores idle, so a few are loaded at a time.
+    with ThreadPoolExecutor(AT_A_TIME) as pool:
+        told = list(pool.map(load, paths.items()))
     return spark.createDataFrame(told, "table_name string, source_rows bigint, target_rows bigint, same boolean, malformed bigint, digest decimal(38,0)")
 
 
