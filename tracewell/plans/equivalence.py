@@ -1,15 +1,22 @@
-"""Are two copies of a dataset the same, down to features and scores?"""
+"""Are two copies of a dataset the same, down to features and scores?
+
+Events are compared by a hash tree of their cases: buckets, then cases, then rows. Equal buckets end at the first
+level, so equal copies join and shuffle no event; rows meet only for cases whose digests differ.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators.cohort import count_rows, count_true
+from tracewell.operators.cohort import count_true
+from tracewell.operators.digests import Differences, differing_buckets, differing_keys, signed
 from tracewell.operators.scoring import feature_names
 from tracewell.schema import KEY
+from tracewell.session import materialize
 
 FIELDS = ["age", "gender", "label", "scenario", "label_source"]
 EVENT_FIELDS = ["event_id", "event_type", "ts", "value", "details"]
@@ -57,8 +64,7 @@ def event_mismatches(left: DataFrame, right: DataFrame) -> DataFrame:
     """
     columns = [*KEY, *EVENT_FIELDS]
     return (
-        left.select(*columns, F.lit(1).alias("n"))
-        .unionByName(right.select(*columns, F.lit(-1).alias("n")))
+        signed(left, right, columns)
         .groupBy(*columns)
         .agg(F.sum("n").alias("surplus"))
         .where(F.col("surplus") != 0)
@@ -68,17 +74,42 @@ def event_mismatches(left: DataFrame, right: DataFrame) -> DataFrame:
 def moved_events(left: DataFrame, right: DataFrame) -> DataFrame:
     """Cases with an event that both sides hold, at another place of the case."""
     columns = [*KEY, *EVENT_FIELDS]
-    side = lambda df, n: df.select(*columns, "case_ordinal", F.lit(n).alias("n"))
-    placed = (
-        side(left, 1).unionByName(side(right, -1))
-        .groupBy(*columns, "case_ordinal").agg(F.sum("n").alias("n"))
-    )
+    placed = signed(left, right, [*columns, "case_ordinal"]).groupBy(*columns, "case_ordinal").agg(F.sum("n").alias("n"))
     return (
         placed.groupBy(*columns).agg(F.sum("n").alias("n"), F.max(F.abs("n")).alias("most"))
         .where("n = 0 AND most > 0").select(*KEY).distinct()
     )
 
 
+@dataclass
+class EventReport:
+    """Events of both sides, cases with other events and cases with events at another place."""
+    found: Differences
+    mismatches: int = 0
+    moved: int = 0
+
+
+def compare_events(left: DataFrame, right: DataFrame) -> EventReport:
+    """A case whose events differ by their places alone has moved events; rows decide only for cases whose
+    events differ otherwise."""
+    found = differing_buckets(left, right, KEY, [*EVENT_FIELDS, "case_ordinal"])
+    if not found.buckets:
+        return EventReport(found)
+    left, right = found.among(left, KEY), found.among(right, KEY)
+    cases = materialize(differing_keys(left, right, KEY, EVENT_FIELDS, ["case_ordinal"]), "differing")
+    content = cases.where("content").select(*KEY)
+    told = cases.agg(count_true(F.col("content")).alias("content"), count_true(~F.col("content")).alias("places")).head()
+    moved = told["places"]
+    if told["content"]:
+        open_ = lambda df: df.alias("e").join(content.alias("c"), _same_key("e", "c"), "left_semi")
+        moved += moved_events(open_(left), open_(right)).count()
+    return EventReport(found, told["content"], moved)
+
+
+def _same_key(a: str, b: str):
+    return reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in KEY])
+
+
 def equivalence_report(
     cases_a: DataFrame, events_a: DataFrame, features_a: DataFrame, scores_a: DataFrame,
     cases_b: DataFrame, events_b: DataFrame, features_b: DataFrame, scores_b: DataFrame,
@@ -99,12 +130,7 @@ def equivalence_report(
         count_true(both & ~_same(["source_ordinal"])).alias("moved_cases"),
         count_true(both & ~_same(FIELDS)).alias("field_mismatches"),
     )
-    sides = (
-        events_a.select(F.lit(1).alias("a"), F.lit(0).alias("b"))
-        .unionByName(events_b.select(F.lit(0).alias("a"), F.lit(1).alias("b")))
-        .agg(F.sum("a").alias("left_events"), F.sum("b").alias("right_events"))
-    )
-    event_cases = event_mismatches(events_a, events_b).select(*KEY).distinct()
+    events = compare_events(events_a, events_b)
     features, scores = _paired(features_a, features_b, names), _paired(scores_a, scores_b, ["score"])
     one_sided = count_true(F.col("in_a").isNull() | F.col("in_b").isNull())
     gap = F.max(F.abs(F.col("a_score") - F.col("b_score")))
@@ -122,13 +148,13 @@ def equivalence_report(
         )
         weights = pairs_w.agg(count_true(~F.col("a").eqNullSafe(F.col("b")))).scalar()
 
-    one = lambda df, *agg: df.agg(*agg).scalar()
+    whole = lambda n: F.lit(n).cast("bigint")
     report = by_case.select(
         "*",
-        sides.select("left_events").scalar().alias("left_events"),
-        sides.select("right_events").scalar().alias("right_events"),
-        one(event_cases, count_rows()).alias("event_mismatches"),
-        one(moved_events(events_a, events_b), count_rows()).alias("moved_events"),
+        whole(events.found.left_rows).alias("left_events"),
+        whole(events.found.right_rows).alias("right_events"),
+        whole(events.mismatches).alias("event_mismatches"),
+        whole(events.moved).alias("moved_events"),
         by_feature["differ"].alias("feature_mismatches"),
         by_feature["one_sided"].alias("unmatched_features"),
         by_score["gap"].alias("max_score_delta"),
