@@ -9,7 +9,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tracewell.catalog.common import plain
-from tracewell.catalog.measures import FEATURES_SQL
+from tracewell.catalog.measures import COVERAGE_SQL, FEATURES_SQL
 from tracewell.catalog.registry import query
 from tracewell.catalog.sqltext import quoted, sql_iso, sql_list
 from tracewell.catalog.timeline import EVIDENCE_PART, features_sql
@@ -21,6 +21,7 @@ from tracewell.operators import queue as Q
 from tracewell.operators import scoring as S
 from tracewell.operators import timeline as T
 from tracewell.operators.notes import lexicon_features
+from tracewell.plans.coverage import kept_coverage
 from tracewell.plans.equivalence import equivalence_report, event_mismatches, field_mismatches
 from tracewell.plans.nightly import ingest, ingest_and_rank, pending
 from tracewell.plans.review import review_queue
@@ -498,6 +499,40 @@ def activity_store(spark, folder) -> CaseStore:
     return store
 
 
+def three_drops(spark, folder):
+    """Cases and events in three drops: all cases first, without labels or discharge, and the events that are no
+    labs; then half of the cases as they are, and the labs; then the other cases as well."""
+    cases, events = activity_cases(spark, folder), activity_events(spark, folder)
+    half = F.pmod(F.xxhash64(*KEY), F.lit(2))
+    open_ = cases.withColumn("label", F.lit(None).cast("boolean")).withColumn("discharged_at", F.lit(None).cast("timestamp"))
+    labs = F.col("event_type") == "lab"
+    return [(open_, events.where(~labs)), (cases.where(half == 0), events.where(labs)), (cases.where(half == 1), events)]
+
+
+@query(
+    "census_kept",
+    f"""WITH {ACTIVITY_SQL} SELECT source, count(*) AS total, count_if(discharged_at IS NULL)::BIGINT AS in_house,
+      count_if(discharged_at IS NOT NULL)::BIGINT AS discharged FROM a_cases GROUP BY source""",
+)
+def census_kept(spark, folder):
+    """The census as the commits of three drops have kept it; no case is read for it."""
+    store = fresh_store(spark)
+    for cases, _ in three_drops(spark, folder):
+        store.upsert_cases(cases)
+    return store.census()
+
+
+@query("coverage_kept", f"WITH {COVERAGE_SQL} SELECT * FROM coverage")
+def coverage_kept(spark, folder):
+    """Coverage kept over three drops: each counts anew the buckets that it touched."""
+    store = fresh_store(spark)
+    for cases, events in three_drops(spark, folder):
+        store.upsert_cases(cases)
+        store.append_events(events)
+        kept = kept_coverage(store)
+    return kept.coverage
+
+
 @query(
     "store_score_run",
     f"WITH {HAND_SQL} SELECT case_id, round(score, 9) AS score, feature, contribution "

@@ -19,11 +19,15 @@ def trigger_coverage(features: DataFrame, labels: DataFrame, meanings: dict) ->
     made from the single result row, not from every case. A null label counts
     towards cases but not towards rates.
     """
-    wide = features.join(labels.select(*KEY, "label"), KEY)
+    return coverage_rates(coverage_counts(features, labels, list(meanings)), meanings)
+
+
+def coverage_counts(features: DataFrame, labels: DataFrame, names: list[str], *by: str) -> DataFrame:
+    """Counts per trigger (and per group of columns of labels), from which rates follow; they add up over groups."""
+    wide = features.join(labels.select(*KEY, "label", *[c for c in by if c not in KEY]), KEY)
     label = F.col("label")
     known = label.isNotNull()
-    names = list(meanings)
-    counts = wide.agg(
+    counts = wide.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total"),
         count_true(known).alias("labelled"),
         count_true(label).alias("positives"),
@@ -31,23 +35,27 @@ def trigger_coverage(features: DataFrame, labels: DataFrame, meanings: dict) ->
         *[count_true((F.col(n) > 0) & known).alias(f"{n}__known") for n in names],
         *[count_true((F.col(n) > 0) & label).alias(f"{n}__hits") for n in names],
     )
-    rows = counts.select(
-        "total", "labelled", "positives",
+    return counts.select(
+        *by, "total", "labelled", "positives",
         F.inline(
             F.array(
                 *[
                     F.struct(
                         F.lit(n).alias("trigger"),
-                        F.lit(meaning).alias("meaning"),
                         F.col(f"{n}__cases").alias("cases"),
                         F.col(f"{n}__known").alias("known"),
                         F.col(f"{n}__hits").alias("hits"),
                     )
-                    for n, meaning in meanings.items()
+                    for n in names
                 ]
             )
         ),
     )
+
+
+def coverage_rates(counts: DataFrame, meanings: dict) -> DataFrame:
+    pairs = [F.lit(x) for item in meanings.items() for x in item]
+    rows = counts.withColumn("meaning", F.element_at(F.create_map(*pairs), F.col("trigger")))
     rate = C.ratio(F.col("hits"), F.col("known"))
     base = C.ratio(F.col("positives"), F.col("labelled"))
     return rows.select(

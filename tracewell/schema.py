@@ -62,3 +62,17 @@ REVIEWS = _struct(
     ("notes", T.StringType(), True),
     ("reviewed_at", T.TimestampType(), True),
 )
+
+# Counts per bucket of cases; `version` names the parts they were made from.
+COVERAGE = _struct(
+    ("source", T.StringType(), False),
+    ("bucket", T.IntegerType(), False),
+    ("version", T.StringType(), False),
+    ("trigger", T.StringType(), False),
+    ("total", T.LongType(), False),
+    ("labelled", T.LongType(), False),
+    ("positives", T.LongType(), False),
+    ("cases", T.LongType(), False),
+    ("known", T.LongType(), False),
+    ("hits", T.LongType(), False),
+)
