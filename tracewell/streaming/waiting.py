@@ -1,108 +1,117 @@
 """Which discharged cases have waited too long for a score, as a stream.
 
-State per case: its discharge, when it was first scored for it, and whether the flag was given. A timer per
-case fires when the discharge is STALE_DAYS old by the stream's clock, so a case that no later
-file names is flagged as well. The clock is the watermark of `at`, the time of delivery.
+State per case: its discharge, when it was first scored for it, and whether the flag was given. A discharge that
+grows stale while nothing names its case is flagged as well, as soon as the stream's clock has come to it. The
+clock is the latest `at`, the time of delivery, of all batches so far, and does not go back; what was
+delivered by the clock of an earlier batch comes too late to count.
 
 - A stay that comes late, when it is stale already, is flagged as it comes.
 - A repeated stay changes nothing; one with another discharge starts to wait anew, one
   without is open again and waits for nothing. Of several rows of a case in one batch the later delivery
   counts, then the later discharge.
-- A score before the discharge grows stale stops the timer, also if it comes before its stay; a later one does not undo the flag.
+- A score before the discharge grows stale stops the wait, also if it comes before its stay; a later one does not undo the flag.
 
-State is one small row per case, in RocksDB, and is never dropped: a repeat of any age is known.
+State is a table of one small row per case, in the checkpoint folder, and is never dropped: a repeat of any age is known. A
+batch reads the state that the batch before has left, folds its rows into it in one shuffle by case, and
+writes it anew, so a batch that is replayed after a failure gives the same state and flags. All of it is built-in
+functions: no case is handed to Python.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import os
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tracewell.functions import fixed_values as fixed
 from tracewell.schema import KEY
 
 STAY, SCORE = "stay", "score"
 NEWS = "source string, case_id string, kind string, at timestamp, discharged_at timestamp"
-_FLAGS = "source string, case_id string, discharged bigint, late boolean"
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_STATE = "discharged bigint, delivered bigint, scored bigint, flagged boolean"
+HELD = "struct<discharged: bigint, delivered: bigint, scored: bigint, flagged: boolean>"
+STATE = f"source string, case_id string, held {HELD}, late boolean"
 DAY = 86_400_000
 
 
-class Waiting(StatefulProcessor):
-    """Times are milliseconds."""
-
-    def __init__(self, days: int) -> None:
-        self.wait = days * DAY
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("case", _STATE)
-
-    def close(self) -> None:
-        pass
-
-    def _take(self, row, discharged, delivered, scored, flagged):
-        """State after one row."""
-        at, new = row.at_ms, row.discharged_ms
-        if row.kind == SCORE:
-            return discharged, delivered, at if scored is None else min(at, scored), flagged
-        if delivered is not None and at < delivered:
-            return discharged, delivered, scored, flagged
-        if new != discharged and delivered is not None:
-            scored, flagged = None, False
-        return new, at, scored, flagged
-
-    def _waits(self, discharged, scored, flagged) -> bool:
-        return discharged is not None and not flagged and (scored is None or scored >= discharged + self.wait)
-
-    def handleInputRows(self, key, rows, timerValues):
-        held = tuple(self.state.get()) if self.state.exists() else (None, None, None, False)
-        order = lambda r: (r.at_ms, r.kind == SCORE, r.discharged_ms or 0)
-        for row in sorted(rows, key=order):
-            held = self._take(row, *held)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        discharged, delivered, scored, flagged = held
-        if self._waits(discharged, scored, flagged):
-            if discharged + self.wait <= timerValues.getCurrentWatermarkInMs():
-                held = (discharged, delivered, scored, True)
-                yield self._flag(key, discharged, True)
-            else:
-                self.handle.registerTimer(discharged + self.wait)
-        self.state.update(held)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        discharged, delivered, scored, flagged = self.state.get()
-        if self._waits(discharged, scored, flagged):
-            self.state.update((discharged, delivered, scored, True))
-            yield self._flag(key, discharged, False)
-
-    def _flag(self, key, discharged: int, late: bool) -> Row:
-        return Row(source=key[0], case_id=key[1], discharged=discharged, late=late)
-
-
-def stale_flags(news: DataFrame, days: int = fixed.STALE_DAYS) -> DataFrame:
-    """One flag for each discharge that went without a score for so many days. news: a stream of
-    NEWS; stays carry their discharge (null while open), scores only their time."""
-    timed = news.withColumn("at_ms", F.unix_millis("at")).withColumn("discharged_ms", F.unix_millis("discharged_at"))
-    flags = (
-        timed.withWatermark("at", "0 seconds")
-        .groupBy(*KEY)
-        .transformWithState(statefulProcessor=Waiting(days), outputStructType=_FLAGS, outputMode="Append", timeMode="EventTime")
-    )
-    discharged = F.timestamp_millis("discharged")
-    return flags.select(*KEY, discharged.alias("discharged_at"), F.timestamp_millis(F.col("discharged") + days * DAY).alias("stale_at"), "late")
+def _take(held: Column, row: Column) -> Column:
+    """State after one row; times are milliseconds."""
+    earlier = F.coalesce(row["at"] < held["delivered"], F.lit(False))
+    known = held["delivered"].isNotNull()
+    anew = known & ~row["discharged"].eqNullSafe(held["discharged"])
+    state = lambda discharged, delivered, scored, flagged: F.struct(
+        discharged.alias("discharged"), delivered.alias("delivered"), scored.alias("scored"), flagged.alias("flagged"))
+    scored = state(held["discharged"], held["delivered"], F.least(row["at"], held["scored"]), held["flagged"])
+    stay = state(row["discharged"], row["at"], F.when(~anew, held["scored"]), held["flagged"] & ~anew)
+    return F.when(row["score"], scored).when(earlier, held).otherwise(stay)
+
+
+def folded(held: DataFrame, news: DataFrame, before: int, after: int, days: int = fixed.STALE_DAYS) -> DataFrame:
+    """STATE after a batch of NEWS: one row per case; `late` is null but for a flag given by this batch.
+
+    The clock is at `before` while the rows are taken in, and at `after` when all are."""
+    score = F.col("kind").eqNullSafe(SCORE)
+    # rows are in the order of this struct; a null discharge counts as 0 there
+    row = F.struct(
+        F.unix_millis("at").alias("at"), score.alias("score"),
+        F.coalesce(F.unix_millis("discharged_at"), F.lit(0)).alias("place"), F.unix_millis("discharged_at").alias("discharged"))
+    known = held.select(*KEY, "held", F.lit(None).cast(news.select(row.alias("r")).schema["r"].dataType).alias("row"))
+    both = known.unionByName(news.select(*KEY, F.lit(None).cast(HELD).alias("held"), row.alias("row")))
+    # rows that are equal count once
+    cases = both.groupBy(*KEY).agg(F.first("held", ignorenulls=True).alias("held"), F.array_sort(F.collect_set("row")).alias("rows"))
+    none = F.struct(
+        *[F.lit(None).cast("bigint").alias(c) for c in ("discharged", "delivered", "scored")], F.lit(False).alias("flagged"))
+    # the column of the fold is made once, then read
+    taken = cases.select(
+        *KEY, (F.size("rows") > 0).alias("named"),
+        F.inline(F.array(F.struct(F.aggregate("rows", F.coalesce("held", none), _take).alias("held")))))
+    held = F.col("held")
+    due = held["discharged"] + days * DAY
+    waits = due.isNotNull() & ~held["flagged"] & F.coalesce(held["scored"] >= due, F.lit(True))
+    late = F.when(waits & F.col("named") & (due <= before), True).when(waits & (due <= after), False)
+    return taken.select(*KEY, "held", late.alias("late")).select(
+        *KEY, held.withField("flagged", held["flagged"] | F.col("late").isNotNull()).alias("held"), "late")
+
+
+def flags_of(state: DataFrame, days: int = fixed.STALE_DAYS) -> DataFrame:
+    """The flags that the last batch gave: one for each discharge that went without a score for so many days."""
+    discharged = F.col("held.discharged")
+    return state.where(F.col("late").isNotNull()).select(
+        *KEY, F.timestamp_millis(discharged).alias("discharged_at"),
+        F.timestamp_millis(discharged + days * DAY).alias("stale_at"), "late")
 
 
 def watch_waiting(
     spark: SparkSession, folder: str, flags: str, checkpoint: str, days: int = fixed.STALE_DAYS,
     available_now: bool = True, file_format: str = "parquet",
 ) -> StreamingQuery:
-    """Start the stream from a folder of NEWS files to a folder of flags, each written once."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    """Start the stream from a folder of NEWS files to a folder of flags, each written once, by batch."""
     news = spark.readStream.schema(NEWS).format(file_format).load(folder)
-    writer = stale_flags(news, days).writeStream.format("parquet").option("path", flags).option("checkpointLocation", checkpoint)
+    at = lambda table, batch_id: os.path.join(checkpoint, "waiting", table, f"batch={batch_id}")
+
+    def take(rows: DataFrame, batch_id: int) -> None:
+        session = rows.sparkSession
+        if batch_id:
+            held = session.read.schema(STATE).parquet(at("state", batch_id - 1))
+            before = session.read.parquet(at("clock", batch_id - 1)).head()["clock"]
+        else:
+            held, before = session.createDataFrame([], STATE), 0
+        latest = rows.agg(F.max(F.unix_millis("at"))).head()[0]
+        after = max(before, before if latest is None else latest)
+        fresh = rows.where(F.col("at").isNull() | (F.col("at") > F.timestamp_millis(F.lit(before))))
+        folded(held, fresh, before, after, days).write.mode("overwrite").parquet(at("state", batch_id))
+        state = session.read.schema(STATE).parquet(at("state", batch_id))
+        flags_of(state, days).write.mode("overwrite").parquet(os.path.join(flags, f"batch={batch_id}"))
+        session.createDataFrame([(after,)], "clock bigint").write.mode("overwrite").parquet(at("clock", batch_id))
+        if batch_id > 1:
+            _drop(session, at("state", batch_id - 2))      # no replay reads it any more
+
+    writer = news.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def _drop(spark: SparkSession, folder: str) -> None:
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
