@@ -167,3 +167,46 @@ def test_text_elements_go_by_whole_names():
     kept = '<p class="lead-notice">a</p><p id="comments-policy">b</p><h2 class="AdHoc">c</h2><li class="menu-item">d</li>'
     gone = '<p class="notice">x</p><p class="big ad">x</p><div class="lead-notice">x</div><section id="comments-policy"><p>x</p></section>'
     assert E.page_blocks(f"<article>{kept}{gone}</article>") == (True, ["a", "b", "c", "d"])
+
+
+def test_repeats_on_pages_with_an_article_count(spark):
+    """Text of pages that their structure settles makes the same text boilerplate on a page without an article."""
+    menu, note, own = (" ".join(f"{w}{i}" for i in range(20)) for w in ("menu", "note", "own"))
+    rows = [(1, "https://h.example/1", f"<div>{menu}</div><article>{note}</article>"), (2, "https://h.example/2", f"<div>{menu}</div><p>{own}</p><p>{note}</p>"), (3, "https://h.example/3", "")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert {r.row.page_id: r.text for r in E.extract_text(df).collect()} == {1: note, 2: own, 3: ""}
+
+
+def test_repetition_decides_doubtful_blocks(spark):
+    """A paragraph whose class only contains a notice's word is one if other pages of its host have it."""
+    note = " ".join(f"note{i}" for i in range(18))
+    page = lambda i, c: f'<article><p class="{c}">{note}</p><p>own{i}</p><p class="lead-notice">single{i}</p></article>'
+    rows = [(i, f"https://h.example/{i}", page(i, "lead-notice")) for i in range(3)] + [(3, "https://h.example/3", page(3, "lead"))]
+    rows += [(4, "https://other.example/", page(4, "lead-notice"))]
+    rows += [(i, "https://copies.example/", f'<div>{i}</div><article><p class="lead-notice">{note}</p><p>{note}</p></article>') for i in (5, 6)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    want = {i: f"own{i}\nsingle{i}" for i in range(3)} | {i: f"{note}\nown{i}\nsingle{i}" for i in (3, 4)} | {i: f"{note}\n{note}" for i in (5, 6)}
+    assert {r.row.page_id: r.text for r in E.extract_text(df).collect()} == want
+
+
+@pytest.mark.parametrize("group_pages", [2, 7, 500])
+def test_groups_as_the_whole_host(spark, monkeypatch, group_pages):
+    """Random pages in groups and shards of any size give what a search of all pairs of pages gives."""
+    monkeypatch.setattr(E, "GROUP_PAGES", group_pages)
+    monkeypatch.setattr(E, "SHARD_GROUPS", 3)
+    rng = random.Random(8)
+    pieces = [[f"w{rng.randrange(60)}" for _ in range(rng.choice([7, 9, 15, 16, 17, 25]))] for _ in range(12)]
+    rows = []
+    for i in range(60):
+        own = iter(range(10**6))
+        words = [w for _ in range(rng.randint(0, 5)) for w in (rng.choice(pieces) if rng.random() < 0.6 else [f"own{i}x{next(own)}" for _ in range(rng.randint(1, 20))])]
+        rows.append((i, f"https://h{i % 2}.example/{i}", f"<main>{' '.join(words)}</main>" if i % 3 == 0 else f"<p>{' '.join(words)}</p>", words))
+    rows += [(100 + r[0], f"{r[1]}?copy", r[2], r[3]) for r in rows[:9]]
+    want = {}
+    for i, url, page, words in rows:
+        others = {tuple(w[x:x + E.RUN]) for _, u, _, w in rows if u[:18] == url[:18] and w != words for x in range(len(w) - E.RUN + 1)}
+        gone = {y for x in range(len(words) - E.RUN + 1) if tuple(words[x:x + E.RUN]) in others for y in range(x, x + E.RUN)}
+        want[i] = " ".join(w for y, w in enumerate(words) if page.startswith("<main>") or y not in gone)
+    assert sum(want[r[0]] != " ".join(r[3]) for r in rows) > 10
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id bigint, url string, html string")
+    assert {r.row.page_id: r.text for r in E.extract_text(df).collect()} == want

@@ -1,17 +1,19 @@
 """HTML extraction: the main text of a page as blocks.
 
-Repetition within a host says which text is boilerplate only where the page's own structure does
-not: menus and adverts differ from page to page, and articles that are copied between pages
-repeat. So a page with an `article` or `main` element gives that element's blocks,
-without the parts that its elements, roles or class names mark as menu, header, footer, sidebar,
-notice, advert, form or reader comments.
-
-All other pages, also those whose element holds no text, go through the host suffix array. Their tokens are concatenated
-per host, suffixes are ordered by prefix doubling, and neighbours that agree for RUN tokens on
-distinct pages are a repeated passage; covered tokens are removed and unique runs stay. A
-host of more than GROUP_PAGES pages is dealt over groups by a hash, and each group has a suffix array. What
-repeats between groups is found by 128-bit hashes of all runs of RUN tokens: those that stand in two groups
-or more, on distinct pages, go back to their groups. So a repeat counts on the whole host, whatever its size.
+Every page goes through the host suffix array: the words of a host's pages (without the parts that elements, roles or
+class names mark as menu, header, footer, sidebar, notice, advert, form or reader comments) are concatenated, suffixes are
+ordered by prefix doubling, and neighbours that agree for RUN words on distinct pages are a repeated passage. An exact check by
+the page's structure follows, because articles that are copied between pages repeat too:
+
+- A page with text in an `article` or `main` element gives that element's blocks, repeated or not. The array decides the blocks
+  whose own name leaves it open (a paragraph of class `lead-notice`): one that is repeated as a whole is a notice,
+  if the article has other text that is not.
+- Of all other pages repeated words are removed and unique runs stay.
+
+A host of more than GROUP_PAGES pages is dealt over groups by a hash, and each group has a suffix array. What repeats between
+groups is found in two exchanges of hashes. A run's anchor is the least hash of the RUN / 2 words long passages in it, so equal
+runs have equal anchors, and neighbouring runs mostly share theirs. First the anchors, then 96-bit hashes of those runs whose anchor another
+group has, meet by shard, and a bit for each goes back. So a repeat counts on the whole host, whatever its size.
 
 Blocks are cut at block elements; white space inside a block becomes one blank, `br` is white
 space, character references are decoded, and blocks are joined by a line feed. Defined cases: a null or empty html
@@ -25,17 +27,18 @@ import re
 from html.parser import HTMLParser
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from tracewell.session import materialize
 
 RUN = 16                # tokens, a power of two
 GROUP_PAGES = 500
+SHARD_GROUPS = 16       # groups whose hashes one shard takes
+OUTSIDE, INSIDE, DOUBTFUL = "o", "i", "d"       # of an article; inside of one, and its name leaves open what it is
+ENTRY = np.dtype([("first", "<u8"), ("second", "<u4"), ("page", "<u8")])       # a run, and its page or 0: several
+FACTORS = np.array([xxhash.xxh3_64_intdigest(str(i)) | 1 for i in range(RUN)], dtype=np.uint64)
 
 # Names of the elements, roles and class words that decide.
 BLOCKS = frozenset("""
@@ -81,16 +84,25 @@ def is_noise(tag: str, attributes: list[tuple[str, str | None]]) -> bool:
     return False
 
 
+def is_doubtful(tag: str, attributes: list[tuple[str, str | None]]) -> bool:
+    """Whether a part of a text element's class name or id is a word that marks containers."""
+    if tag not in BLOCKS or tag in CONTAINERS or tag in ("html", "body", "article", "main"):
+        return False
+    return any(name in ("class", "id") and {w.lower() for w in _WORD.findall(value or "")} & DROPPED_WORDS for name, value in attributes)
+
+
 class Reader(HTMLParser):
-    """Blocks of a page: (inside an article or main, text)."""
+    """Blocks of a page: (inside an article or main, text), and whether each is doubtful."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple[bool, str]] = []
+        self.doubts: list[bool] = []
         self.open: list[tuple[str, bool]] = []      # name, dropped
         self.blocks_at: list[int] = []      # places in `open` of block elements
         self.stops_at: list[int] = []       # of those that no start tag closes
         self.places: dict[str, list[int]] = {}      # places in `open` by name
+        self.doubtful_at: list[int] = []    # of doubtful elements inside of an article
         self.dropped = self.articles = 0
         self.text: list[str] = []
 
@@ -98,6 +110,7 @@ class Reader(HTMLParser):
         text = " ".join("".join(self.text).split())
         if text:
             self.blocks.append((self.articles > 0, text))
+            self.doubts.append(bool(self.doubtful_at))
         self.text = []
 
     def pop(self, count: int) -> None:
@@ -111,6 +124,8 @@ class Reader(HTMLParser):
             if name in BLOCKS:
                 self.cut()
             self.articles -= name in ("article", "main")
+            if self.doubtful_at and self.doubtful_at[-1] == len(self.open):
+                self.doubtful_at.pop()
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
@@ -125,6 +140,8 @@ class Reader(HTMLParser):
                 self.blocks_at.append(len(self.open))
             if tag in STOPS:
                 self.stops_at.append(len(self.open))
+            if self.articles and is_doubtful(tag, attrs):
+                self.doubtful_at.append(len(self.open))
             self.open.append((tag, dropped))
             self.dropped += dropped
             self.articles += tag in ("article", "main")
@@ -158,133 +175,264 @@ class Reader(HTMLParser):
             self.text.append(data)
 
 
-def page_blocks(html: str | None) -> tuple[bool, list[str]]:
-    """Whether the page's structure settles its main text, and the blocks."""
+def page_parts(html: str | None) -> list[tuple[str, str]]:
+    """(kind, text) of every block that the page's structure does not drop."""
     reader = Reader()
     reader.feed(html or "")
     reader.close()
     reader.cut()
-    inside = [text for article, text in reader.blocks if article]
-    return (True, inside) if inside else (False, [text for _, text in reader.blocks])
+    return [((DOUBTFUL if doubt else INSIDE) if article else OUTSIDE, text) for (article, text), doubt in zip(reader.blocks, reader.doubts, strict=True)]
 
 
-def repeated(pages: list[list[int]], run: int = RUN) -> list[np.ndarray]:
-    """Per page of token numbers: which tokens lie in a run that stands on another page too."""
-    sizes = np.array([len(p) for p in pages], dtype=np.int64)
-    if not sizes.sum():
-        return [np.zeros(0, dtype=bool) for _ in pages]
+def page_blocks(html: str | None) -> tuple[bool, list[str]]:
+    """Whether the page's structure settles its main text, and the blocks."""
+    parts = page_parts(html)
+    inside = [text for kind, text in parts if kind != OUTSIDE]
+    return (True, inside) if inside else (False, [text for _, text in parts])
+
+
+def repeated_words(flat: np.ndarray, sizes: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Which words of concatenated pages, numbered from 0 without gaps, lie in a run that stands on another page too."""
     # A number of its own ends each page, so no run goes on into the next.
-    top = max((max(p) for p in pages if p), default=0) + 1
-    stream = np.concatenate([np.array([*p, top + i], dtype=np.int64) for i, p in enumerate(pages)])
-    owner = np.repeat(np.arange(len(pages)), sizes + 1)
-    n, width = len(stream), 1
-    _, rank = np.unique(stream, return_inverse=True)
+    stream = np.insert(flat, np.cumsum(sizes), flat.max(initial=0) + 1 + np.arange(len(sizes)))
+    owner = np.repeat(np.arange(len(sizes)), sizes + 1)
+    n, width, rank = len(stream), 1, stream
+    at = np.arange(n)               # suffixes whose first `width` words another suffix has; all others are in their place
     while width < run:
-        after = np.full(n, -1, dtype=np.int64)
-        after[:max(n - width, 0)] = rank[width:]
-        _, rank = np.unique(rank.astype(np.int64) * (n + 2) + after + 1, return_inverse=True)
+        told = np.full(n + width, -1, dtype=np.int64)
+        told[at] = rank
+        at, rank = (x[told[at + width] >= 0] for x in (at, rank))
+        _, rank, count = np.unique(rank * (2 * n + 2) + told[at + width], return_inverse=True, return_counts=True)
+        at, rank = (x[count[rank] > 1] for x in (at, rank))
         width *= 2
-    order = np.lexsort((owner, rank))              # suffixes by their first `run` tokens
-    same = (rank[order][1:] == rank[order][:-1])
-    group = np.concatenate([[0], np.cumsum(~same)])
-    first, last = np.full(group[-1] + 1, n), np.full(group[-1] + 1, -1)
-    np.minimum.at(first, group, owner[order])
-    np.maximum.at(last, group, owner[order])
-    shared = np.zeros(n, dtype=bool)
-    shared[order] = (first != last)[group]
-    edge = np.zeros(n + width + 1, dtype=np.int64)
-    at = np.flatnonzero(shared)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + width, -1)
-    covered = np.cumsum(edge)[:n] > 0
-    ends = np.cumsum(sizes + 1)
-    return [covered[e - s - 1:e - 1] for s, e in zip(sizes, ends, strict=True)]
-
-
-def run_hashes(tokens: list[str], run: int = RUN) -> np.ndarray:
-    """(high, low) halves of a 128-bit hash of every `run` consecutive tokens."""
-    digest = xxhash.xxh3_128_digest
-    data = b"".join(digest(" ".join(tokens[i:i + run])) for i in range(len(tokens) - run + 1))
-    return np.frombuffer(data, dtype=">i8").astype(np.int64).reshape(-1, 2)
-
-
-def unique_runs(pages: list[list[str]], run: int = RUN, known: set[tuple[int, int]] = frozenset()) -> list[list[str]]:
-    """Blocks of each page without the runs of tokens that other pages repeat; `known` are hashes
-    of runs that pages outside of these repeat."""
-    numbers: dict[str, int] = {}
-    streams = [[numbers.setdefault(t, len(numbers)) for b in blocks for t in b.split()] for blocks in pages]
-    # equal pages are one page: a copy does not make a text boilerplate
-    distinct = {tuple(s): i for i, s in reversed(list(enumerate(streams)))}
-    marks = dict(zip(distinct, repeated([list(s) for s in distinct], run), strict=True))
-    if known:
-        for stream, i in distinct.items():
-            tokens = [t for b in pages[i] for t in b.split()]
-            for at, pair in enumerate(run_hashes(tokens, run).tolist()):
-                if tuple(pair) in known:
-                    marks[stream][at:at + run] = True
-    out = []
-    for blocks, stream in zip(pages, streams, strict=True):
-        covered, at, kept = marks[tuple(stream)], 0, []
-        for block in blocks:
-            tokens = block.split()
-            left = [t for t, c in zip(tokens, covered[at:at + len(tokens)], strict=True) if not c]
-            at += len(tokens)
-            if left:
-                kept.append(" ".join(left))
-        out.append(kept)
-    return out
+    order = np.argsort(rank, kind="stable")     # suffixes by their first `run` words
+    at, rank = at[order], rank[order]
+    begin = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]])) if len(at) else np.zeros(0, dtype=np.int64)
+    if len(at):
+        shared = np.minimum.reduceat(owner[at], begin) != np.maximum.reduceat(owner[at], begin)
+        at = at[np.repeat(shared, np.diff(np.append(begin, len(at))))]
+    edge = np.zeros(n + run + 1, dtype=np.int64)
+    edge[at] += 1
+    edge[at + run] -= 1
+    return np.delete(np.cumsum(edge)[:n] > 0, np.cumsum(sizes + 1) - 1)
+
+
+def repeated(pages: list[list[int]], run: int = RUN) -> list[np.ndarray]:
+    """Per page of token numbers: which tokens lie in a run that stands on another page too."""
+    sizes = np.array([len(p) for p in pages], dtype=np.int64)
+    _, flat = np.unique(np.array([t for p in pages for t in p], dtype=np.int64), return_inverse=True)
+    return np.split(repeated_words(flat, sizes, run), np.cumsum(sizes)[:-1])
+
+
+class Group:
+    """The pages of a host's group as numbered words, equal pages once, and the hashes of their runs."""
+
+    def __init__(self, pages: list[str]) -> None:
+        # equal pages are one page: a copy does not make a text boilerplate
+        place = {text: i for i, text in enumerate(dict.fromkeys(pages))}
+        self.page_of = [place[text] for text in pages]
+        self.pages = list(place)
+        self.sizes = np.array([text.count(" ") + 1 if text else 0 for text in place], dtype=np.int64)
+        whole = pa.array([" ".join(text for text in place if text)], pa.large_string())
+        words = pc.split_pattern(whole, " ").flatten().dictionary_encode()
+        self.flat = words.indices.to_numpy().astype(np.int64)[:int(self.sizes.sum())]
+        self.words = words.dictionary.to_pylist()
+
+    def hash_runs(self) -> None:
+        """`at`, the places of all runs in the concatenated pages, and their `anchors`."""
+        n, grams = len(self.flat), RUN // 2
+        self.at = np.flatnonzero(np.repeat(np.cumsum(self.sizes), self.sizes) - np.arange(n) >= RUN)
+        self.anchors = np.zeros(len(self.at), dtype=np.uint64)
+        if len(self.at):
+            self.hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, self.words)), dtype=">u8").reshape(-1, 2).astype(np.uint64)
+            first, runs = self.hashes[self.flat, 0], n - RUN + 1
+            mixed = sum(first[j:n - grams + 1 + j] * FACTORS[j] for j in range(grams))
+            least = mixed[:runs]
+            for j in range(1, RUN - grams + 1):
+                least = np.minimum(least, mixed[j:runs + j])
+            self.anchors = least[self.at] & np.uint64((1 << 48) - 1)
+
+    def distinct_anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """The anchors in order, and the place of each run's among them."""
+        new = np.concatenate([[True], self.anchors[1:] != self.anchors[:-1]])[:len(self.anchors)]
+        anchors, place = np.unique(self.anchors[new], return_inverse=True)
+        return anchors, place[np.cumsum(new) - 1]
+
+    def asked(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct entries of the runs whose anchor is shared, in order; numbers of these runs, and the entry of each."""
+        runs = np.flatnonzero(shared)
+        held = np.zeros(len(runs), dtype=ENTRY)
+        if len(runs):
+            mixed = [sum(self.hashes[self.flat[self.at[runs] + j], half] * FACTORS[j] for j in range(RUN)) for half in (0, 1)]
+            pages = np.array([xxhash.xxh3_64_intdigest(text) or 1 for text in self.pages], dtype=np.uint64)
+            held["first"], held["second"] = mixed[0], mixed[1] >> np.uint64(32)
+            held["page"] = np.repeat(pages, self.sizes)[self.at[runs]]
+        order = np.lexsort((held["second"], held["first"]))
+        runs, held = runs[order], held[order]
+        new = np.ones(len(runs), dtype=bool)
+        new[1:] = (held["first"][1:] != held["first"][:-1]) | (held["second"][1:] != held["second"][:-1])
+        entry = np.cumsum(new) - 1
+        distinct = held[new]
+        distinct["page"][entry[held["page"] != distinct["page"][entry]]] = 0
+        return distinct, runs, entry
+
+    def covered(self, known: np.ndarray) -> list[np.ndarray]:
+        """Per page: which words lie in a run that another page has, of this group or (numbers of runs) known from others."""
+        marks = repeated_words(self.flat, self.sizes)
+        edge = np.zeros(len(marks) + 1, dtype=np.int64)
+        if len(known):
+            edge[self.at[known]] += 1
+            edge[self.at[known] + RUN] -= 1
+        pages = np.split(marks | (np.cumsum(edge)[:-1] > 0), np.cumsum(self.sizes)[:-1])
+        return [pages[i] for i in self.page_of]
+
+
+def main_text(parts: list[tuple[str, str]], covered: np.ndarray) -> list[str]:
+    """Blocks of the main text, from the page's blocks and which of their words are repeated on the host."""
+    kinds = {kind for kind, _ in parts}
+    if INSIDE in kinds and DOUBTFUL not in kinds:
+        return [text for kind, text in parts if kind == INSIDE]
+    ends = np.cumsum([len(text.split()) for _, text in parts])
+    marks = np.split(covered, ends[:-1]) if parts else []
+    if kinds <= {OUTSIDE}:
+        left = (" ".join([t for t, m in zip(text.split(), mark.tolist(), strict=True) if not m]) for (_, text), mark in zip(parts, marks, strict=True))
+        return [text for text in left if text]
+    own = any(kind == INSIDE and not mark.all() for (kind, _), mark in zip(parts, marks, strict=True))
+    return [text for (kind, text), mark in zip(parts, marks, strict=True) if kind == INSIDE or (kind == DOUBTFUL and not (own and mark.all()))]
+
+
+def _pack(parts: list[tuple[str, str]]) -> bytes:
+    data = "\n".join([kind + text for kind, text in parts]).encode()
+    return len(data).to_bytes(4, "little") + pa.compress(data, "zstd", asbytes=True)
 
 
 def _parse(batches):
-    """Columns before the html, whether the structure settles the page, and its blocks."""
+    """Columns before the html, and the packed blocks of the page."""
     for batch in batches:
-        found = [page_blocks(h) for h in batch.column("html").to_pylist()]
-        settled, blocks = pa.array([s for s, _ in found], pa.bool_()), pa.array([b for _, b in found], pa.list_(pa.string()))
-        yield pa.record_batch([*batch.columns[:-1], settled, blocks], [*batch.schema.names[:-1], "settled", "blocks"])
+        packed = [_pack(page_parts(h)) for h in batch.column("html").to_pylist()]
+        yield pa.record_batch([*batch.columns[:-1], pa.array(packed, pa.binary())], [*batch.schema.names[:-1], "packed"])
 
 
-def _runs(batches):
-    """(host, part, high, low, page) of each distinct run of each page; page is a hash of all its tokens."""
-    for batch in batches:
-        for host, part, blocks in zip(*(batch.column(c).to_pylist() for c in ("host", "part", "blocks")), strict=True):
-            tokens = [t for b in blocks for t in b.split()]
-            found = np.unique(run_hashes(tokens), axis=0)
-            page = xxhash.xxh3_64_intdigest(" ".join(tokens)) - (1 << 63)
-            n = len(found)
-            columns = [pa.array([host] * n, pa.string()), pa.array([part] * n, pa.int64()), pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array([page] * n, pa.int64())]
-            yield pa.record_batch(columns, ["host", "part", "high", "low", "page"])
+def _unpack(table: pa.Table) -> list[list[tuple[str, str]]]:
+    data = [pa.decompress(p[4:], int.from_bytes(p[:4], "little"), "zstd", asbytes=True).decode() for p in table.column("packed").to_pylist()]
+    return [[(line[0], line[1:]) for line in page.split("\n") if line] for page in data]
+
+
+def _shards(table: pa.Table) -> np.uint64:
+    return np.uint64(table.column("shards")[0].as_py())
+
+
+def _group(pages: list[list[tuple[str, str]]]) -> Group:
+    return Group([" ".join([text for _, text in parts]) for parts in pages])
+
+
+SENT = "host string, part bigint, shard bigint, entries binary"
+NOTHING = pa.schema([("host", pa.string()), ("part", pa.int64()), ("shard", pa.int64()), ("entries", pa.binary())]).empty_table()
+ANSWERED = "host string, part bigint, step int, shard bigint, bits binary"
+
+
+def _sent(table: pa.Table, shards: np.ndarray, packed) -> pa.Table:
+    """Rows (SENT): the entries of each shard, in order."""
+    host, part = (table.column(c)[0].as_py() for c in ("host", "part"))
+    rows = [(host, part, s, packed(shards == s)) for s in np.unique(shards).tolist()]
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(NOTHING.schema.types)], NOTHING.schema.names)
+
+
+def _answered(table: pa.Table, step: int, bits: list[np.ndarray]) -> pa.Table:
+    columns = [table.column("host"), table.column("part"), pa.array([step] * len(bits), pa.int32()), table.column("shard"), pa.array([np.packbits(b).tobytes() for b in bits], pa.binary())]
+    return pa.table(columns, ["host", "part", "step", "shard", "bits"])
+
+
+def _bits(answers: pa.Table, step: int, shards: np.ndarray) -> np.ndarray:
+    """The bits of one step's answers, in the order of the entries that were asked about."""
+    found = np.zeros(len(shards), dtype=bool)
+    for row in answers.to_pylist():
+        if row["step"] == step:
+            mine = shards == row["shard"]
+            found[mine] = np.unpackbits(np.frombuffer(row["bits"], dtype=np.uint8), count=int(mine.sum())).astype(bool)
+    return found
+
+
+def _send_anchors(table: pa.Table) -> pa.Table:
+    """The anchors of a group, six bytes each."""
+    if table.column("groups")[0].as_py() == 1:
+        return NOTHING
+    group = _group(_unpack(table))
+    group.hash_runs()
+    anchors, _ = group.distinct_anchors()
+    return _sent(table, (anchors % _shards(table)).astype(np.int64), lambda of: anchors[of].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+
+
+def _meet_anchors(table: pa.Table) -> pa.Table:
+    """Of each anchor of each group, whether another group has it."""
+    sent = [np.frombuffer(e, dtype=np.uint8).reshape(-1, 6) for e in table.column("entries").to_pylist()]
+    wide = np.zeros((sum(map(len, sent)), 8), dtype=np.uint8)
+    wide[:, :6] = np.concatenate(sent)
+    _, place, count = np.unique(wide.view("<u8")[:, 0], return_inverse=True, return_counts=True)
+    return _answered(table, 1, np.split(count[place] > 1, np.cumsum([len(x) for x in sent])[:-1]))
+
+
+def _asked(group: Group, table: pa.Table, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The runs whose anchor another group has: distinct entries, their shards, runs, the entry of each run."""
+    group.hash_runs()
+    anchors, place = group.distinct_anchors()
+    shards = _shards(table)
+    shared = _bits(answers, 1, (anchors % shards).astype(np.int64))[place]
+    entries, runs, entry = group.asked(shared)
+    return entries, (entries["first"] % shards).astype(np.int64), runs, entry
+
+
+def _send_runs(table: pa.Table, answers: pa.Table) -> pa.Table:
+    if not answers.num_rows:
+        return NOTHING
+    entries, shards, _, _ = _asked(_group(_unpack(table)), table, answers)
+    return _sent(table, shards, lambda of: entries[of].tobytes())
+
+
+def _meet_runs(table: pa.Table) -> pa.Table:
+    """Of each run of each group, whether it stands on a distinct page of another group."""
+    sent = [np.frombuffer(e, dtype=ENTRY) for e in table.column("entries").to_pylist()]
+    held = np.concatenate(sent)
+    order = np.lexsort((held["second"], held["first"]))
+    first, second, page = (held[c][order] for c in ENTRY.names)
+    new = np.ones(len(held), dtype=bool)
+    new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+    run, begin = np.cumsum(new) - 1, np.flatnonzero(new)
+    shared = (np.bincount(run) > 1) & ((np.minimum.reduceat(page, begin) == 0) | (np.minimum.reduceat(page, begin) != np.maximum.reduceat(page, begin)))
+    found = np.zeros(len(held), dtype=bool)
+    found[order] = shared[run]
+    return _answered(table, 2, np.split(found, np.cumsum([len(x) for x in sent])[:-1]))
 
 
-def _between_parts(dealt: DataFrame) -> DataFrame:
-    """(host, part, high, low): runs of a part that stand on a distinct page of another part of the host."""
-    large = dealt.where("groups > 1").select("host", "part", "blocks")
-    runs = large.mapInArrow(_runs, "host string, part bigint, high bigint, low bigint, page bigint")
-    by_part = runs.groupBy("host", "high", "low", "part").agg(F.min("page").alias("first"), F.max("page").alias("last"))
-    whole = by_part.groupBy("host", "high", "low").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.collect_set("part").alias("parts"))
-    return whole.where("first != last AND size(parts) > 1").select("host", F.explode("parts").alias("part"), "high", "low")
+def _finish(table: pa.Table, answers: pa.Table) -> pa.Table:
+    pages = _unpack(table)
+    group, known = _group(pages), np.zeros(0, dtype=np.int64)
+    if answers.num_rows:
+        _, shards, runs, entry = _asked(group, table, answers)
+        known = runs[_bits(answers, 2, shards)[entry]]
+    texts = ["\n".join(main_text(parts, marks)) for parts, marks in zip(pages, group.covered(known), strict=True)]
+    return pa.table([table.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
 
 def extract_text(pages: DataFrame, url_column: str = "url", html_column: str = "html") -> DataFrame:
     """`row` (all columns of pages but the html) and text of every row."""
     rest = [c for c in pages.columns if c != html_column]
+    host = F.coalesce(F.lower(F.regexp_extract(url_column, r"://([^/?#]*)", 1)), F.lit("")).alias("host")
+    # at most one row for GROUP_PAGES pages
+    large = pages.select(host).groupBy("host").agg(F.ceil(F.count("*") / GROUP_PAGES).alias("groups")).where("groups > 1")
     held = pages.select(
         F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"),
-        F.coalesce(F.lower(F.regexp_extract(url_column, r"://([^/?#]*)", 1)), F.lit("")).alias("host"),
+        host,
         F.xxhash64(url_column, html_column).alias("deal"),
         F.coalesce(F.col(html_column), F.lit("")).alias("html"),
-    )
-    schema = held.select("row").schema.add("text", "string")
-    kinds = held.select("row", "host", "deal").schema.add("settled", "boolean").add("blocks", T.ArrayType(T.StringType()))
-    parsed = materialize(held.mapInArrow(_parse, kinds), "parsed_pages")
-    marked = parsed.where("settled").select("row", F.array_join("blocks", "\n").alias("text"))
-    open_ = parsed.where("NOT settled").drop("settled")
-    groups = open_.groupBy("host").agg(F.ceil(F.count("*") / GROUP_PAGES).alias("groups"))
-    dealt = open_.join(groups, "host").withColumn("part", F.pmod(F.col("deal"), F.col("groups")))
-
-    def by_host(frame: pd.DataFrame, elsewhere: pd.DataFrame) -> pd.DataFrame:
-        known = set(zip(elsewhere["high"].tolist(), elsewhere["low"].tolist(), strict=True))
-        kept = unique_runs([list(b) for b in frame["blocks"]], known=known)
-        return pd.DataFrame({"row": frame["row"], "text": ["\n".join(b) for b in kept]})
-
-    parts = dealt.groupBy("host", "part").cogroup(_between_parts(dealt).groupBy("host", "part"))
-    return marked.unionByName(parts.applyInPandas(by_host, schema))
+    ).join(F.broadcast(large), "host", "left")
+    groups = F.coalesce("groups", F.lit(1).cast("bigint"))
+    shards = F.ceil(groups / SHARD_GROUPS).alias("shards")
+    held = held.select("row", "host", groups.alias("groups"), shards, F.pmod("deal", groups).alias("part"), "html")
+    # all readers of the groups take all columns, so that they share one exchange
+    dealt = held.mapInArrow(_parse, held.drop("html").schema.add("packed", "binary"))
+    by_group = lambda: dealt.groupBy("host", "part")
+    anchors = by_group().applyInArrow(_send_anchors, SENT).groupBy("host", "shard").applyInArrow(_meet_anchors, ANSWERED)
+    runs = by_group().cogroup(anchors.groupBy("host", "part")).applyInArrow(_send_runs, SENT).groupBy("host", "shard").applyInArrow(_meet_runs, ANSWERED)
+    answers = anchors.unionAll(runs)
+    return by_group().cogroup(answers.groupBy("host", "part")).applyInArrow(_finish, held.select("row").schema.add("text", "string"))
