@@ -236,7 +236,7 @@ class Group:
         whole = pa.array([" ".join(text for text in place if text)], pa.large_string())
         words = pc.split_pattern(whole, " ").flatten().dictionary_encode()
         self.flat = words.indices.to_numpy().astype(np.int64)[:int(self.sizes.sum())]
-        self.words = words.dictionary.to_pylist()
+        self.words = words.dictionary
 
     def hash_runs(self) -> None:
         """`at`, the places of all runs in the concatenated pages, and their `anchors`."""
@@ -244,7 +244,8 @@ class Group:
         self.at = np.flatnonzero(np.repeat(np.cumsum(self.sizes), self.sizes) - np.arange(n) >= RUN)
         self.anchors = np.zeros(len(self.at), dtype=np.uint64)
         if len(self.at):
-            self.hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, self.words)), dtype=">u8").reshape(-1, 2).astype(np.uint64)
+            words = self.words.to_numpy(zero_copy_only=False)       # many times faster than to_pylist
+            self.hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), dtype=">u8").reshape(-1, 2).astype(np.uint64)
             first, runs = self.hashes[self.flat, 0], n - RUN + 1
             mixed = sum(first[j:n - grams + 1 + j] * FACTORS[j] for j in range(grams))
             least = mixed[:runs]
